@@ -38,7 +38,8 @@ def _norm(line: Column) -> Column:
 def own_text(text: Column) -> Column:
     """text without quoted lines, and without attribution lines that stand before a quote."""
     lines = F.split(text, r"\r?\n")
-    marked = F.transform(lines, lambda x, i: F.struct(x.alias("x"), _level(x).alias("q"), F.coalesce(F.rlike(F.get(lines, i + 1), F.lit(QUOTE)) & F.rlike(x, F.lit(ATTRIBUTION)), F.lit(False)).alias("a")))
+    following = F.slice(lines, F.lit(2), F.size(lines))  # one shorter: the last line is paired with null
+    marked = F.zip_with(lines, following, lambda x, y: F.struct(x.alias("x"), _level(x).alias("q"), (F.coalesce(F.rlike(y, F.lit(QUOTE)), F.lit(False)) & F.rlike(x, F.lit(ATTRIBUTION))).alias("a")))
     kept = F.filter(marked, lambda s: (s["q"] == 0) & ~s["a"])
     out = F.trim(F.regexp_replace(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"), r"^\s+|\s+$", ""))
     return F.when(F.rlike(text, F.lit("(?m)" + QUOTE)) & (out != ""), out).otherwise(text)
@@ -74,7 +75,8 @@ def format_chats(messages: DataFrame) -> DataFrame:
                 break
     order = F.concat(F.array(F.coalesce("head", F.col("turn"))), F.when(F.col("head").isNull(), F.array().cast("array<long>")).otherwise(F.col("path")))
     out = m.join(parents, ["conv_id", "turn"], "left").join(paths.select("conv_id", "turn", "head", "path"), ["conv_id", "turn"], "left")
-    text = own_text(F.col("text"))
+    out = out.withColumn("own", own_text(F.col("text")))
+    text = F.col("own")
     quotes = F.size(F.filter(F.split("text", r"\r?\n"), lambda x: x.rlike(QUOTE)))
     return out.select(
         "conv_id", "turn", "role", text.alias("text"), "reply_to", F.size(order).alias("depth"), order.alias("path"),

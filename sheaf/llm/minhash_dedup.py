@@ -98,7 +98,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, count: np.ndarray, docs: int, m:
         while len(d):
             low = 0 if strip == 0 else 1 << (strip - 1)
             width = 1 if strip == 0 else low
-            state = mix64(e + U64(strip + 1) * U64(0xA24BAED4963EE407))
+            state = mix64(e + U64((strip + 1) * 0xA24BAED4963EE407 % (1 << 64)))
             time = np.zeros(len(d))
             at, weight, until = d, w, horizon[d]
             while len(at):
