@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from . import analytics, graph_queries, text_queries  # noqa: F401
