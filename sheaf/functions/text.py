@@ -99,9 +99,13 @@ TEMPORAL = (
 )
 
 
+def _found(t: Column, pattern: str, kind: str) -> Column:
+    return F.transform(F.regexp_extract_all(t, F.lit(f"(?i){pattern}"), F.lit(0)), lambda x: F.struct(x.alias("text"), F.lit(kind).alias("kind")))
+
+
 def temporal_expressions(t: Column) -> Column:
     """array<struct<text, kind>> in the order of the patterns."""
-    return F.flatten(F.array(*[F.transform(F.regexp_extract_all(t, F.lit(f"(?i){p}"), F.lit(0)), lambda x, k=k: F.struct(x.alias("text"), F.lit(k).alias("kind"))) for p, k in TEMPORAL]))
+    return F.flatten(F.array(*[_found(t, p, k) for p, k in TEMPORAL]))
 
 
 def context_window(t: Column, start: Column, end: Column, width: int = 50) -> tuple[Column, Column]:

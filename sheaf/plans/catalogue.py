@@ -1,3 +1,4 @@
 """Imports every module that registers queries."""
 
+from ..streaming import process  # noqa: F401
 from . import analytics, graph_queries, text_queries  # noqa: F401
