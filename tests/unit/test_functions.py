@@ -50,5 +50,5 @@ def test_chunks_keep_all_words_in_order():
 
 def test_html_reader():
     r = html.read("<html><head><title>T</title><meta name=author content=Ann><link rel=canonical href=/c></head><body><nav><a href=/n>n</a></nav><article><h1>H</h1><p>One<p>Two <a href='/x'>link</a></article></body></html>")
-    assert (r["title"], r["main"], r["author"], r["canonical"], r["paragraphs"]) == ("T", "HOneTwo link", "Ann", "/c", 2)
+    assert (r["title"], r["main"], r["author"], r["canonical"], r["paragraphs"]) == ("T", "H One Two link", "Ann", "/c", 2)
     assert html.read(None)["main"] is None
