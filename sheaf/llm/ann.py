@@ -103,29 +103,48 @@ def scan(queries: np.ndarray, packed: np.ndarray, books: np.ndarray) -> np.ndarr
 
 
 def _search(books: np.ndarray | None, dim: int, k: int, rerank: int):
+    """Chunks of queries against blocks of rows. The blocks of a task come one after another for each chunk, so a query
+    leaves the task with its k best of all of them."""
+
+    def top(q, ids, score):
+        order = np.lexsort((ids, -score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        first = np.searchsorted(q, q, side="left")
+        keep = np.arange(len(q)) - first < k
+        return q[keep], ids[keep], score[keep]
+
+    def out(q_ids, held):
+        q, ids, score = top(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return pd.DataFrame({"query_id": q_ids[q], "vec_id": ids, "score": score})
+
     def of(batches):
+        chunk, q_ids, q, held = None, None, None, []
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                x = np.frombuffer(row.vectors, np.float64).reshape(-1, dim)
-                ids = np.frombuffer(row.ids, np.int64)
-                q = np.frombuffer(row.q_vectors, np.float64).reshape(-1, dim)
-                q_ids = np.frombuffer(row.q_ids, np.int64)
+                if row.q_ids != chunk:
+                    if held:
+                        yield out(q_ids, held)
+                    chunk, held = row.q_ids, []
+                    q_ids, q = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.q_vectors, np.float64).reshape(-1, dim)
+                x, ids = np.frombuffer(row.vectors, np.float64).reshape(-1, dim), np.frombuffer(row.ids, np.int64)
                 take = min(len(x), rerank + 1)
                 if take < len(x):
                     rough = scan(q, np.frombuffer(row.codes, np.uint8).reshape(len(x), -1), books)
                     best = np.argpartition(-rough, take - 1, axis=0)[:take].T
                 else:
                     best = np.broadcast_to(np.arange(len(x)), (len(q), len(x)))
-                got_q, got_i, got_s = [], [], []
+                found = []
                 for n in range(len(q)):
                     at = best[n]
                     at = at[ids[at] != q_ids[n]]
                     score = (x[at] * q[n]).sum(1)
-                    top = np.lexsort((ids[at], -score))[:k]
-                    got_q.append(np.full(len(top), q_ids[n]))
-                    got_i.append(ids[at][top])
-                    got_s.append(score[top])
-                yield pd.DataFrame({"query_id": np.concatenate(got_q), "vec_id": np.concatenate(got_i), "score": np.concatenate(got_s)})
+                    order = np.lexsort((ids[at], -score))[:k]
+                    found.append((np.full(len(order), n), ids[at][order], score[order]))
+                held.append(tuple(np.concatenate(y) for y in zip(*found, strict=True)))
+                if len(held) > 8:
+                    held = [top(*(np.concatenate(y) for y in zip(*held, strict=True)))]
+        if held:
+            yield out(q_ids, held)
 
     return of
 
@@ -181,7 +200,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SAM
         # blocks are as full as the input's partitions allow; each lies in one task, each chunk of queries visits each task
         blocks = materialise(blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(int(number)))))
         chunks = asked.filter(F.size("v") == dim).mapInPandas(_pack_rows(None, chunk, eta), _BLOCK).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(number) - 1).cast("long"))).alias("part"))
-        met = blocks.join(chunks.hint("shuffle_merge"), "part").select("ids", "vectors", "codes", "q_ids", "q_vectors").mapInPandas(_search(books, dim, k, rerank), "query_id long, vec_id long, score double")
+        # the chunks are the streamed side of the merge join: each meets all blocks of its task before the next does
+        met = chunks.join(blocks.hint("shuffle_merge"), "part").select("ids", "vectors", "codes", "q_ids", "q_vectors").mapInPandas(_search(books, dim, k, rerank), "query_id long, vec_id long, score double")
         found = met if found is None else found.union(met)
     if found is None:
         found = rows.select(F.lit(0).cast("long").alias("query_id"), "vec_id", F.lit(0.0).alias("score")).filter("false")
