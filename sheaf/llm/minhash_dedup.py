@@ -220,7 +220,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(key_of("doc_id").alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
     texts = keyed.select("th", "text")
-    one = materialise(keyed.select("doc", "th").groupBy("th").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n")))
+    one = materialise(keyed.select("doc", "th").groupBy("th").agg(F.coalesce(F.min(F.when(F.col("doc") > F.lit(-(2**63)), F.col("doc"))), F.min("doc")).alias("doc")))
     signed = materialise(texts.mapInArrow(_bands, "th long, full boolean, bands array<long>").filter("full").groupBy("th").agg(F.min("bands").alias("bands")))
     placed = signed.select("th", F.explode("bands").alias("bucket"))
     leaders = placed.groupBy("bucket").agg(F.min("th").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "a")
