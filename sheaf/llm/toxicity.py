@@ -259,8 +259,9 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Training rows only: those whose fold of five isn't 0."""
-    marks = labels.select(F.col("doc_id").alias("__id"), "toxic").filter(F.col("toxic").isNotNull()).groupBy("__id").agg(F.max("toxic").alias("toxic"))
+    """Training rows only: those whose fold of five isn't 0. Labels grow with the documents, so the join is a merge at
+    every size, never a broadcast."""
+    marks = labels.select(F.col("doc_id").alias("__id"), "toxic").filter(F.col("toxic").isNotNull()).groupBy("__id").agg(F.max("toxic").alias("toxic")).hint("merge")
     return docs.select("doc_id", "text").filter(fold(F.col("doc_id"), 5) != 0).join(marks, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic")
 
 
