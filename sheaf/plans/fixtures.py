@@ -13,6 +13,10 @@ from .registry import query
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 VIEWS = {
+    "match_reports": """SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'Arsenal' WHEN 1 THEN 'Man City' ELSE 'Fulham' END || ' '
+        || CAST(o_orderkey % 5 AS STRING) || '-' || CAST(o_orderkey % 4 AS STRING) || CASE o_orderkey % 2 WHEN 0 THEN ' Chelsea' ELSE ' Everton' END || chr(10)
+        || CASE o_orderkey % 4 WHEN 0 THEN 'Tim Cook of Arsenal scored a goal.' WHEN 1 THEN 'The striker Elon Musk saw a Red Card at Old Trafford.'
+        WHEN 2 THEN 'A free kick, a corner and a save by the goalkeeper.' ELSE 'Chelsea''s winger Jeff Bezos scored in a 4-4-2 shape.' END AS text FROM orders""",
     "content": """SELECT doc_id AS content_id, CAST(substr(source, 4) AS INT) AS job_id,
         'https://' || source || '.example.org/' || lang || '/' || CAST(doc_id AS STRING) AS url,
         text AS extracted_text, CAST(doc_id % 5 AS INT) AS crawl_depth, CAST(n_chars % 997 AS INT) AS processing_time,
