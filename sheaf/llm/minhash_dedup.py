@@ -223,7 +223,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     one = materialise(keyed.select("doc", "th").groupBy("th").agg(F.coalesce(F.min(F.when(F.col("doc") > F.lit(-(2**63)), F.col("doc"))), F.min("doc")).alias("doc")))
     signed = materialise(texts.mapInArrow(_bands, "th long, full boolean, bands array<long>").filter("full").groupBy("th").agg(F.min("bands").alias("bands")))
     placed = signed.select("th", F.explode("bands").alias("bucket"))
-    leaders = placed.groupBy("bucket").agg(F.min("th").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "a")
+    # what is known of each bucket is written before it is joined back: then both sides of the join are plain exchanges,
+    # which can be split where a bucket is large
+    leaders = materialise(placed.groupBy("bucket").agg(F.min("th").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "a"))
     shared = materialise(placed.join(leaders, "bucket"))
     pairs = shared.filter("a <> th").select("a", F.col("th").alias("b")).distinct()
     wanted = shared.select("th").distinct().join(one, "th").select("doc", "th")
@@ -234,9 +236,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
     roots = materialise(components(links))
 
     known = shared.select("bucket", "th").join(roots.withColumnRenamed("node", "th"), "th", "left").select("bucket", "th", F.coalesce("root", "th").alias("class"))
-    mixed = known.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("bucket")
+    mixed = materialise(known.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("bucket"))
     open_ = materialise(known.join(mixed, "bucket"))
-    star = open_.join(open_.groupBy("bucket").agg(F.min("th").alias("a")), "bucket")
+    heads = materialise(open_.groupBy("bucket").agg(F.min("th").alias("a")))
+    star = open_.join(heads, "bucket")
     together = materialise(components(star.select("a", F.col("th").alias("b"))))
     sizes = together.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
     rows = (
