@@ -8,7 +8,7 @@ ones is still told apart. A document is the length-normalised difference of the
 over its most telling words, so that a few words in a very long text still count. A logistic map, fitted on labelled rows
 that the counts haven't seen, makes the score.
 
-Counts cover all labelled training rows. They are kept by hashed n-gram in tables of fixed size, `TOP_BINS` at the two
+Counts cover four fifths of all labelled training rows, the rest is for the map. They are kept by hashed n-gram in tables of fixed size, `TOP_BINS` at the two
 highest orders and `LOW_BINS` below, so the model that is sent out is bounded whatever the corpus; the logistic map is
 fitted on at most `CALIBRATION_ROWS` rows.
 
