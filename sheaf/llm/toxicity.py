@@ -8,13 +8,15 @@ ones is still told apart. A document is the length-normalised difference of the
 over its most telling words, so that a few words in a very long text still count. A logistic map, fitted on labelled rows
 that the counts haven't seen, makes the score.
 
-Counts cover four fifths of all labelled training rows, the rest is for the map. They are kept by hashed n-gram in tables of fixed size, `TOP_BINS` at the two
-highest orders and `LOW_BINS` below, so the model that is sent out is bounded whatever the corpus; the logistic map is
-fitted on at most `CALIBRATION_ROWS` rows.
+Four fifths of all labelled training rows are counted, the rest is for the map, which is fitted on at most
+`CALIBRATION_ROWS` rows. All counts are tables: of words, and of the n-grams of their characters. They are exact and grow
+with the corpus. Every distinct word of the documents gets its difference by joins with them, level by level, each level
+over distinct n-grams only. The `HOT_WORDS` most frequent words at most are then sent to the tasks that read the texts;
+words beyond those are joined by word, with the same result.
 
 Defined results: null or letterless text is scored like any other, from zero evidence; without training rows of both
-classes every score is 0; equal texts get equal scores; an empty table gives an empty result; doc_id, lang and source
-never enter a score.
+classes every score is 0; equal texts get equal scores; an empty table gives an empty result; columns of any name pass
+through; doc_id, lang and source never enter a score.
 """
 
 from __future__ import annotations
@@ -24,175 +26,147 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, release, table
 from .language import fold
-from .textscan import U64, mix64
 
 ORDER = 5
-TOP_BINS = 1 << 19
-LOW_BINS = 1 << 16
 #: Taken off a count of 1, of 2, and of 3 or more. A single sighting carries no mass at the levels that tell classes apart.
 DISCOUNT = 0.75
 CLASS_DISCOUNTS = (1.0, 1.5, 2.0)
-WORD = 0
+#: Count given to a character that was never seen, and the number of characters among which it is shared out.
+UNSEEN, ALPHABET = 0.01, 1 << 16
 CALIBRATION_ROWS = 20_000
-#: Words counted before a task hands its n-grams on, and words remembered while scoring.
+#: Words counted before a task hands them on.
 HELD_WORDS = 150_000
+#: Words at most that are sent to every task.
+HOT_WORDS = 400_000
 TELLING = 4
 
 _word = re.compile(r"[^\W\d_]+")
 
 
-def _bins(order: int) -> int:
-    return TOP_BINS if order >= ORDER - 1 else LOW_BINS
-
-
-def grams(words: list[str]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """(word number of each character, and for each order the bin of the n-gram that ends there). A word is followed by
-    an end mark and preceded by as many begin marks as the highest order needs."""
-    pad = ORDER - 1
-    lengths = np.fromiter((len(w) for w in words), np.int64, len(words)) + 1
-    text = "".join("\x02" * pad + w + "\x03" for w in words)
-    code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(U64)
-    owner = np.repeat(np.arange(len(words)), lengths)
-    end = np.repeat(np.cumsum(lengths + pad) - lengths, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    out, h = {}, np.zeros(len(end), U64)
-    factor = 1
-    for order in range(1, ORDER + 1):
-        h = h + mix64(code[end - order + 1] + U64(1)) * U64(factor)
-        factor = factor * 0x9E3779B97F4A7C15 % (1 << 64)
-        out[order] = (mix64(h + U64(order)) & U64(_bins(order) - 1)).astype(np.int64)
-    # context of the n-gram that ends here: the (n-1)-gram that ends one character earlier
-    h = np.zeros(len(end), U64)
-    factor = 1
-    out[-1] = np.zeros(len(end), np.int64)
-    for order in range(1, ORDER):
-        h = h + mix64(code[end - order] + U64(1)) * U64(factor)
-        factor = factor * 0x9E3779B97F4A7C15 % (1 << 64)
-        out[-order - 1] = (mix64(h + U64(order)) & U64(_bins(order) - 1)).astype(np.int64)
-    return owner, out
-
-
-def word_bins(words: list[str]) -> np.ndarray:
-    lengths = np.fromiter((len(w) for w in words), np.int64, len(words))
-    code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(U64)
-    first = np.cumsum(lengths) - lengths
-    at = np.arange(len(code)) - np.repeat(first, lengths)
-    h = mix64(code * U64(0x9E3779B97F4A7C15) + at.astype(U64) * U64(0xD6E8FEB86659FD93))
-    return (mix64(np.add.reduceat(h, first) if len(words) else h) & U64(TOP_BINS - 1)).astype(np.int64)
-
-
-def discounts(n: np.ndarray) -> np.ndarray:
-    return np.where(n >= 3, CLASS_DISCOUNTS[2], np.where(n >= 2, CLASS_DISCOUNTS[1], np.where(n >= 1, CLASS_DISCOUNTS[0], 0.0)))
+def _split(text: str | None) -> list[str]:
+    return _word.findall((text or "").lower())
 
 
 def _count(batches):
-    """(toxic, text) -> (ord, gram, context, suffix, toxic_n, other_n), summed as far as a task sees it."""
-
-    def out(counts):
-        words = list(counts[0].keys() | counts[1].keys())
-        owner, g = grams(words)
-        by_word = [np.fromiter((c[w] for w in words), np.int64, len(words)) for c in counts]
-        n = [x[owner] for x in by_word]
-        u, back = np.unique(word_bins(words), return_inverse=True)
-        sums = [np.bincount(back, weights=x).astype(np.int64) for x in by_word]
-        yield pd.DataFrame({"ord": np.int32(WORD), "gram": u, "context": 0, "suffix": 0, "toxic_n": sums[1], "other_n": sums[0]})
-        for order in range(2, ORDER + 1):
-            key = np.stack((g[order], g[-order], g[order - 1]))
-            flat = (key[0] << 40) | (key[1] << 20) | key[2]
-            u, back = np.unique(flat, return_inverse=True)
-            sums = [np.bincount(back, weights=x).astype(np.int64) for x in n]
-            yield pd.DataFrame({"ord": np.int32(order), "gram": u >> 40, "context": (u >> 20) & 0xFFFFF, "suffix": u & 0xFFFFF, "toxic_n": sums[1], "other_n": sums[0]})
+    """(toxic, text) -> (word, toxic_n, other_n), summed as far as a task sees it."""
+
+    def out(held):
+        words = list(held[0].keys() | held[1].keys())
+        return pd.DataFrame({"word": words, "toxic_n": [held[1][w] for w in words], "other_n": [held[0][w] for w in words]})
 
     held = (Counter(), Counter())
     for pdf in batches:
         for toxic, text in zip(pdf["toxic"], pdf["text"], strict=True):
-            held[int(toxic)].update(_word.findall((text or "").lower()))
+            held[int(toxic)].update(_split(text))
             if len(held[0]) + len(held[1]) > HELD_WORDS:
-                yield from out(held)
+                yield out(held)
                 held = (Counter(), Counter())
     if held[0] or held[1]:
-        yield from out(held)
+        yield out(held)
+
+
+def words_of(docs: DataFrame) -> DataFrame:
+    """(word, n): the distinct words of the texts of docs."""
+
+    def count(batches):
+        held = Counter()
+        for pdf in batches:
+            for text in pdf["text"]:
+                held.update(_split(text))
+                if len(held) > HELD_WORDS:
+                    yield pd.DataFrame({"word": list(held.keys()), "n": list(held.values())})
+                    held = Counter()
+        if held:
+            yield pd.DataFrame({"word": list(held.keys()), "n": list(held.values())})
+
+    return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def grams(words: DataFrame) -> DataFrame:
+    """A row for each character of each word and for its end mark, with the n-gram of the highest order that ends there;
+    begin marks fill it up at the start of a word."""
+    padded = F.concat(F.lit("\x02" * (ORDER - 1)), F.col("word"), F.lit("\x03"))
+    return words.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("word") + 1))).withColumn("gram", F.substring(padded, F.col("at"), F.lit(ORDER))).drop("at")
+
+
+def discount(n: Column) -> Column:
+    one, two, more = CLASS_DISCOUNTS
+    return F.when(n >= 3, F.lit(more)).when(n >= 2, F.lit(two)).when(n >= 1, F.lit(one)).otherwise(F.lit(0.0))
+
+
+def _last(order: int) -> Column:
+    return F.substring("gram", -order, order)
+
+
+def _before(order: int) -> Column:
+    return F.substring("gram", 1, order - 1)
 
 
 class Model:
-    """Bounded tables: for each bin the discounted mass of the n-gram, for each context its total and backoff weight."""
-
-    def __init__(self, rows: pd.DataFrame):
-        self.mass, self.scale, self.back = {}, {}, {}
-        for order in range(2, ORDER + 1):
-            r = rows[rows["ord"] == order]
-            if order == ORDER:
-                for c in ("other_n", "toxic_n"):
-                    self._fill((order, c), order, r, r[c].to_numpy(np.float64))
-            else:  # shared: in how many distinct contexts the n-gram ends an (n+1)-gram
-                above = rows[rows["ord"] == order + 1]
-                n = np.bincount(above["suffix"], minlength=_bins(order))[r["gram"]].astype(np.float64)
-                self._fill((order, ""), order, r, n)
-        ends = np.bincount(rows[rows["ord"] == 2]["suffix"], minlength=LOW_BINS).astype(np.float64) + 0.01
-        self.base = (ends / ends.sum()).astype(np.float32)
-        r = rows[rows["ord"] == WORD]
-        for c in ("other_n", "toxic_n"):
-            n = r[c].to_numpy(np.float64)
-            mass = np.zeros(TOP_BINS, np.float32)
-            mass[r["gram"]] = (n - discounts(n)) / n.sum()
-            self.mass[WORD, c], self.back[WORD, c] = mass, float(discounts(n).sum() / n.sum())
-        self.coef = np.zeros(TELLING + 2)
-
-    def _fill(self, key, order, r, n):
-        mass = np.zeros(_bins(order), np.float32)
-        total = np.zeros(_bins(order - 1), np.float64)
-        cut = np.zeros(_bins(order - 1), np.float64)
-        on = n > 0
-        g, c, n = r["gram"].to_numpy()[on], r["context"].to_numpy()[on], n[on]
-        off = discounts(n) if order == ORDER else np.minimum(n, DISCOUNT)
-        np.add.at(mass, g, n - off)
-        np.add.at(total, c, n)
-        np.add.at(cut, c, off)
-        self.mass[key] = mass
-        self.scale[key] = np.where(total > 0, 1 / np.maximum(total, 1e-9), 0).astype(np.float32)
-        self.back[key] = np.where(total > 0, cut / np.maximum(total, 1e-9), 1).astype(np.float32)
-
-    def words(self, words: list[str]) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary)."""
-        owner, g = grams(words)
-        whole = word_bins(words)
-        p = self.base[g[1]]
+    """Tables of counts: words by class, n-grams of the highest order by class. The orders below follow from the latter."""
+
+    def __init__(self, vocabulary: DataFrame):
+        self.vocabulary = materialise(vocabulary)
+        self.top = materialise(grams(self.vocabulary).groupBy("gram").agg(F.sum("toxic_n").alias("toxic_n"), F.sum("other_n").alias("other_n")))
+        # by order, in how many distinct contexts the n-gram ends an (n+1)-gram
+        self.seen = {ORDER: self.top}
+        for order in range(ORDER - 1, 0, -1):
+            self.seen[order] = materialise(self.seen[order + 1].groupBy(_last(order).alias("gram")).agg(F.count(F.lit(1)).cast("double").alias("n")))
+        self.ends = float(self.seen[1].agg(F.sum("n")).first()[0] or 0)
+        sums = [f(c) for c in ("toxic_n", "other_n") for f in (lambda c: F.sum(c), lambda c: F.sum(discount(F.col(c))))]
+        self.totals = [float(x or 0) for x in self.vocabulary.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
+        self.coef = [0.0] * (TELLING + 2)
+
+    def usable(self) -> bool:
+        return self.totals[0] > 0 and self.totals[2] > 0
+
+    def likelihoods(self, asked: DataFrame) -> DataFrame:
+        """(gram, toxic, other): log P(last character | those before it) for the asked n-grams of the highest order.
+
+        A level holds distinct n-grams only, so no key of its joins has more rows than there are characters."""
+        seen, wanted = self.seen, {ORDER: materialise(asked.select("gram").distinct())}
+        for order in range(ORDER - 1, 0, -1):
+            wanted[order] = wanted[order + 1].select(_last(order).alias("gram")).distinct()
+        every = F.lit(self.ends + UNSEEN * ALPHABET)
+        p = wanted[1].join(seen[1], "gram", "left").select("gram", ((F.coalesce("n", F.lit(0.0)) + UNSEEN) / every).alias("p"))
         for order in range(2, ORDER):
-            k = (order, "")
-            p = self.mass[k][g[order]] * self.scale[k][g[-order]] + self.back[k][g[-order]] * p
+            cut = F.least("n", F.lit(DISCOUNT))
+            around = seen[order].groupBy(_before(order).alias("ctx")).agg(F.sum("n").alias("total"), F.sum(cut).alias("cut"))
+            own = seen[order].select("gram", (F.col("n") - cut).alias("mass"))
+            mixed = F.coalesce(F.coalesce("mass", F.lit(0.0)) / F.col("total") + F.col("cut") / F.col("total") * F.col("lower"), "lower")
+            p = self._level(wanted[order], order, p.select(F.col("gram").alias("tail"), F.col("p").alias("lower")), own, around).select("gram", mixed.alias("p"))
+        classes, aggs = ("toxic", "other"), []
+        for c in classes:
+            n = F.col(f"{c}_n")
+            aggs += [F.sum(n).alias(f"{c}_total"), F.sum(discount(n)).alias(f"{c}_cut")]
+        around = self.top.groupBy(_before(ORDER).alias("ctx")).agg(*aggs)
+        own = self.top.select("gram", *[(F.col(f"{c}_n") - discount(F.col(f"{c}_n"))).alias(f"{c}_mass") for c in classes])
+        joined = self._level(wanted[ORDER], ORDER, p.select(F.col("gram").alias("tail"), F.col("p").alias("lower")), own, around)
+        out = []
+        for c in classes:
+            known = (F.coalesce(f"{c}_mass", F.lit(0.0)) + F.col(f"{c}_cut") * F.col("lower")) / F.col(f"{c}_total")
+            out.append(F.log(F.greatest(F.when(F.col(f"{c}_total") > 0, known).otherwise(F.col("lower")), F.lit(1e-9))).alias(c))
+        return joined.select("gram", *out)
+
+    @staticmethod
+    def _level(wanted: DataFrame, order: int, lower: DataFrame, own: DataFrame, around: DataFrame) -> DataFrame:
+        keyed = wanted.withColumn("ctx", _before(order)).withColumn("tail", _last(order - 1))
+        return keyed.join(lower, "tail").join(around, "ctx", "left").join(own, "gram", "left")
+
+    def values(self, words: DataFrame) -> DataFrame:
+        """(word, n, v): v = log P(word | toxic) - log P(word | ordinary)."""
+        spelt = grams(words.select("word"))
+        spelt = spelt.join(self.likelihoods(spelt), "gram").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
         both = []
-        for c in ("toxic_n", "other_n"):
-            k = (ORDER, c)
-            q = np.maximum(self.mass[k][g[ORDER]] * self.scale[k][g[-ORDER]] + self.back[k][g[-ORDER]] * p, 1e-9)
-            spelt = np.exp(np.bincount(owner, weights=np.log(q), minlength=len(words)))
-            both.append(np.log(self.mass[WORD, c][whole] + self.back[WORD, c] * spelt + 1e-30))
-        return both[0] - both[1]
-
-    def features(self, texts, known: dict[str, float]) -> np.ndarray:
-        """Per text: the mean difference a character, and the largest differences of single words, a character."""
-        split = [_word.findall((t or "").lower()) for t in texts]
-        fresh = list({w for s in split for w in s if w not in known})
-        if len(known) + len(fresh) > 4 * HELD_WORDS:
-            known.clear()
-            fresh = list({w for s in split for w in s})
-        for s in range(0, len(fresh), 50_000):
-            part = fresh[s : s + 50_000]
-            known.update(zip(part, self.words(part).tolist(), strict=True))
-        out = np.zeros((len(split), TELLING + 1))
-        for n, s in enumerate(split):
-            if not s:
-                continue
-            v = np.fromiter((known[w] for w in s), np.float64, len(s))
-            out[n, 0] = v.sum() / (sum(map(len, s)) + len(s)) * 10
-            # normalised by length, with four characters' worth of doubt so that very short words don't stand out
-            e = v / (np.fromiter(map(len, s), np.float64, len(s)) + 5) * 10
-            top = np.sort(np.partition(e, max(0, len(e) - TELLING))[-TELLING:])[::-1]
-            out[n, 1 : 1 + len(top)] = np.clip(top, -20, 20)
-        return out
+        for c, (total, cut) in (("toxic", self.totals[:2]), ("other", self.totals[2:])):
+            n = F.coalesce(f"{c}_n", F.lit(0))
+            both.append(F.log((n - discount(n)) / total + F.lit(cut / total) * F.exp(c) + 1e-30))
+        return words.join(spelt, "word").join(self.vocabulary, "word", "left").select("word", "n", (both[0] - both[1]).alias("v"))
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
         z = np.column_stack((np.ones(len(x)), x))
@@ -204,58 +178,106 @@ class Model:
             w += step
             if np.abs(step).max() < 1e-8:
                 break
-        self.coef = w
+        self.coef = w.tolist()
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(np.column_stack((np.ones(len(x)), x)) @ self.coef, -30, 30)))
+    def score(self, x: str) -> Column:
+        z = F.lit(self.coef[0])
+        for i, w in enumerate(self.coef[1:]):
+            z = z + F.col(x)[i] * F.lit(w)
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
 
 
-def train(labelled: DataFrame) -> Model | None:
-    """labelled: (doc_id, text, toxic). Four fifths of the rows are counted, the rest fits the logistic map."""
-    rows = labelled.filter(F.col("toxic").isin(0, 1)).withColumn("part", F.pmod(F.xxhash64(F.lit("fit"), F.coalesce("text", F.lit(""))), F.lit(5)))
-    counted = rows.filter("part > 0").select("toxic", "text").mapInPandas(_count, "ord int, gram long, context long, suffix long, toxic_n long, other_n long")
-    # a bin's context and suffix are those of its least n-gram, so the table has a row for each bin at most
-    sums = counted.groupBy("ord", "gram").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("toxic_n").alias("toxic_n"), F.sum("other_n").alias("other_n"))
-    spark = labelled.sparkSession
-    frame = _collect(sums)
-    if not len(frame) or not (frame["toxic_n"].sum() and frame["other_n"].sum()):
-        return None
-    model = Model(frame)
-    sent = spark.sparkContext.broadcast(model)
-
-    def measure(batches):
-        known: dict[str, float] = {}
-        for pdf in batches:
-            x = sent.value.features(pdf["text"], known)
-            yield pd.DataFrame({"y": pdf["toxic"].astype("int32"), "x": list(x)})
-
-    rest = rows.filter("part = 0").select("toxic", "text", F.xxhash64("text").alias("h"))
-    drawn = rest.orderBy("h", "text").limit(CALIBRATION_ROWS).select("toxic", "text") if rest.count() > CALIBRATION_ROWS else rest.select("toxic", "text")
-    got = drawn.mapInPandas(measure, "y int, x array<double>").toPandas()
-    if not len(got) or got["y"].nunique() < 2:
-        return None
-    model.calibrate(np.array(got["x"].tolist()), got["y"].to_numpy(np.float64))
-    sent.unpersist()
-    return model
+def _hot(values: DataFrame, limit: int) -> tuple[dict[str, float], bool]:
+    """(values of the most frequent words, limit at most; whether these are all)."""
+    level = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    held, least = 0, None
+    rows = values.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+    for r in rows:
+        if held + r["count"] > limit:
+            break
+        held, least = held + r["count"], r["level"]
+    got = values.filter(level >= least) if least is not None else values.limit(0)
+    got = got.select("word", "v").toArrow()
+    return dict(zip(got["word"].to_pylist(), got["v"].to_pylist(), strict=True)), held == sum(r["count"] for r in rows)
 
 
-def _collect(sums: DataFrame) -> pd.DataFrame:
-    slim = sums.select("ord", F.col("gram").cast("int"), F.col("context").cast("int"), F.col("suffix").cast("int"), F.col("toxic_n").cast("float"), F.col("other_n").cast("float"))
-    return slim.toArrow().to_pandas()
+def _telling(e: np.ndarray) -> list[float]:
+    return np.sort(np.partition(e, max(0, len(e) - TELLING))[-TELLING:])[::-1].tolist() if len(e) else []
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with tox_score and tox_label."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def measured(docs: DataFrame, model: Model, hot_words: int = HOT_WORDS) -> DataFrame:
+    """docs with __x: the mean difference a character, and the largest differences of single words, a character. The words
+    beyond the hot ones are joined to their values by word."""
+    spark = docs.sparkSession
+    values = materialise(model.values(materialise(words_of(docs))))
+    hot, complete = _hot(values, hot_words)
+    sent = spark.sparkContext.broadcast(hot)
 
     def of(batches):
-        known: dict[str, float] = {}
+        known = sent.value
         for pdf in batches:
-            s = np.concatenate([sent.value.score(sent.value.features(pdf["text"].iloc[i : i + 500], known)) for i in range(0, len(pdf), 500)]) if sent.value is not None and len(pdf) else np.zeros(len(pdf))
-            yield pdf.assign(tox_score=s, tox_label=(s >= 0.5).astype("int32"))
+            sums, chars, top, rest = [], [], [], []
+            for text in pdf["text"]:
+                words = _split(text)
+                n = len(words)
+                size = np.fromiter(map(len, words), np.float64, n)
+                v = np.fromiter((known.get(w, np.nan) for w in words), np.float64, n)
+                on = ~np.isnan(v)
+                # normalised by length, with four characters' worth of doubt so that very short words don't stand out
+                sums.append(float(v[on].sum()))
+                chars.append(float(size.sum() + n))
+                top.append(_telling(v[on] / (size[on] + 5) * 10))
+                rest.append(Counter(words[i] for i in np.flatnonzero(~on)) if not on.all() else {})
+            yield pdf.assign(__sum=sums, __chars=chars, __top=top, __words=[list(r) for r in rest], __times=[list(r.values()) for r in rest])
+
+    def read(df):
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        return df.mapInPandas(of, fields + ", __sum double, __chars double, __top array<double>, __words array<string>, __times array<long>")
+
+    if complete:
+        out = read(docs)
+    else:
+        rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
+        part = materialise(read(rows.select("__row", "text")).drop("text"))
+        e = F.col("v") / (F.length("word") + 5) * 10
+        late = part.select("__row", F.explode(F.arrays_zip("__words", "__times")).alias("r")).select("__row", F.col("r.__words").alias("word"), F.col("r.__times").alias("n")).join(values.select("word", "v"), "word")
+        late = late.groupBy("__row").agg(F.sum(F.col("v") * F.col("n")).alias("__more"), F.flatten(F.collect_list(F.array_repeat(e, F.least("n", F.lit(TELLING)).cast("int")))).alias("__late"))
+        part = part.join(late, "__row", "left").select(
+            "__row", "__chars", (F.col("__sum") + F.coalesce("__more", F.lit(0.0))).alias("__sum"),
+            F.slice(F.sort_array(F.concat("__top", F.coalesce("__late", F.array().cast("array<double>"))), asc=False), 1, TELLING).alias("__top"),
+        )
+        out = rows.join(part, "__row")
+    largest = [F.greatest(F.least(F.coalesce(F.get("__top", F.lit(i)), F.lit(0.0)), F.lit(20.0)), F.lit(-20.0)) for i in range(TELLING)]
+    mean = F.when(F.col("__chars") > 0, F.col("__sum") / F.col("__chars") * 10).otherwise(F.lit(0.0))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.array(mean, *largest).alias("__x"))
+
+
+def train(labelled: DataFrame, hot_words: int = HOT_WORDS) -> Model | None:
+    """labelled: (doc_id, text, toxic). Four fifths of the rows are counted, the rest fits the logistic map."""
+    part = F.pmod(F.xxhash64(F.lit("fit"), F.coalesce("text", F.lit(""))), F.lit(5))
+    rows = materialise(labelled.filter(F.col("toxic").isin(0, 1)).select(F.col("toxic").cast("int").alias("toxic"), "text", part.alias("part")))
+    counted = rows.filter("part > 0").select("toxic", "text").mapInPandas(_count, "word string, toxic_n long, other_n long")
+    model = Model(counted.groupBy("word").agg(F.sum("toxic_n").alias("toxic_n"), F.sum("other_n").alias("other_n")))
+    if not model.usable():
+        return None
+    rest = rows.filter("part = 0").select("toxic", "text")
+    if rest.count() > CALIBRATION_ROWS:
+        rest = rest.orderBy(F.xxhash64("text"), "text").limit(CALIBRATION_ROWS)
+    got = measured(rest, model, hot_words).select("toxic", "__x").toPandas()
+    release(rows)
+    if got["toxic"].nunique() < 2:
+        return None
+    model.calibrate(np.array(got["__x"].tolist()), got["toxic"].to_numpy(np.float64))
+    return model
+
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(of, fields + ", tox_score double, tox_label int")
+def score(docs: DataFrame, model: Model | None, hot_words: int = HOT_WORDS) -> DataFrame:
+    """docs with tox_score and tox_label."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if model is None:
+        return docs.select(*columns, F.lit(0.0).alias("tox_score"), F.lit(0).alias("tox_label"))
+    out = measured(docs, model, hot_words).select(*columns, model.score("__x").alias("tox_score"))
+    return out.select(*columns, "tox_score", (F.col("tox_score") >= 0.5).cast("int").alias("tox_label"))
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:

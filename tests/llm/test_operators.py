@@ -188,6 +188,12 @@ def test_toxicity_learns_words_and_spellings(spark):
     got = {x.doc_id: x for x in toxicity.score(docs, model).collect()}
     assert np.mean([got[i].tox_label == y for i, _, y in rows[700:]]) > 0.95
     assert got[9000].tox_label == 0 and got[9000].tox_score == got[9001].tox_score == got[9002].tox_score
+    # words beyond those sent out are joined, with the same result
+    docs = docs.withColumn("word", F.lit(1)).withColumn("n", F.lit(None).cast("string"))
+    late = toxicity.score(docs, model, hot_words=40)
+    assert late.columns == [*docs.columns, "tox_score", "tox_label"]
+    late = {x.doc_id: x.tox_score for x in late.collect()}
+    assert late.keys() == got.keys() and all(abs(late[i] - got[i].tox_score) < 1e-9 for i in got)
     assert toxicity.score(docs, None).filter("tox_score = 0").count() == docs.count()
     assert toxicity.score(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
 
