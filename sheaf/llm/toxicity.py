@@ -43,6 +43,8 @@ CALIBRATION_ROWS = 20_000
 HELD_WORDS = 150_000
 #: Words at most that are sent to every task.
 HOT_WORDS = 400_000
+#: n-grams with their likelihoods that are joined by broadcast, at most; more are joined by n-gram.
+SENT_GRAMS = 1_000_000
 TELLING = 4
 
 _word = re.compile(r"[^\W\d_]+")
@@ -161,7 +163,10 @@ class Model:
     def values(self, words: DataFrame) -> DataFrame:
         """(word, n, v): v = log P(word | toxic) - log P(word | ordinary)."""
         spelt = grams(words.select("word"))
-        spelt = spelt.join(self.likelihoods(spelt), "gram").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+        known = materialise(self.likelihoods(spelt))
+        if known.count() <= SENT_GRAMS:
+            known = F.broadcast(known)
+        spelt = spelt.join(known, "gram").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
         both = []
         for c, (total, cut) in (("toxic", self.totals[:2]), ("other", self.totals[2:])):
             n = F.coalesce(f"{c}_n", F.lit(0))
@@ -205,10 +210,11 @@ def _telling(e: np.ndarray) -> list[float]:
     return np.sort(np.partition(e, max(0, len(e) - TELLING))[-TELLING:])[::-1].tolist() if len(e) else []
 
 
-def measured(docs: DataFrame, model: Model, hot_words: int = HOT_WORDS) -> DataFrame:
-    """docs with __x: the mean difference a character, and the largest differences of single words, a character. The words
+def measured(docs: DataFrame, model: Model, hot_words: int = HOT_WORDS, keep: list[str] | None = None) -> DataFrame:
+    """The columns of docs that are kept (all, if not named) with __x: the mean difference a character, and the largest differences of single words, a character. The words
     beyond the hot ones are joined to their values by word."""
     spark = docs.sparkSession
+    keep = docs.columns if keep is None else keep
     values = materialise(model.values(materialise(words_of(docs))))
     hot, complete = _hot(values, hot_words)
     sent = spark.sparkContext.broadcast(hot)
@@ -228,17 +234,13 @@ def measured(docs: DataFrame, model: Model, hot_words: int = HOT_WORDS) -> DataF
                 chars.append(float(size.sum() + n))
                 top.append(_telling(v[on] / (size[on] + 5) * 10))
                 rest.append(Counter(words[i] for i in np.flatnonzero(~on)) if not on.all() else {})
-            yield pdf.assign(__sum=sums, __chars=chars, __top=top, __words=[list(r) for r in rest], __times=[list(r.values()) for r in rest])
+            yield pdf[keep].assign(__sum=sums, __chars=chars, __top=top, __words=[list(r) for r in rest], __times=[list(r.values()) for r in rest])
 
-    def read(df):
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-        return df.mapInPandas(of, fields + ", __sum double, __chars double, __top array<double>, __words array<string>, __times array<long>")
-
-    if complete:
-        out = read(docs)
-    else:
-        rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
-        part = materialise(read(rows.select("__row", "text")).drop("text"))
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    out = docs.mapInPandas(of, fields + ", __sum double, __chars double, __top array<double>, __words array<string>, __times array<long>")
+    if not complete:
+        rows = materialise(out.withColumn("__row", F.monotonically_increasing_id()))
+        part = rows.select("__row", "__sum", "__chars", "__top", "__words", "__times")
         e = F.col("v") / (F.length("word") + 5) * 10
         late = part.select("__row", F.explode(F.arrays_zip("__words", "__times")).alias("r")).select("__row", F.col("r.__words").alias("word"), F.col("r.__times").alias("n")).join(values.select("word", "v"), "word")
         late = late.groupBy("__row").agg(F.sum(F.col("v") * F.col("n")).alias("__more"), F.flatten(F.collect_list(F.array_repeat(e, F.least("n", F.lit(TELLING)).cast("int")))).alias("__late"))
@@ -246,10 +248,10 @@ def measured(docs: DataFrame, model: Model, hot_words: int = HOT_WORDS) -> DataF
             "__row", "__chars", (F.col("__sum") + F.coalesce("__more", F.lit(0.0))).alias("__sum"),
             F.slice(F.sort_array(F.concat("__top", F.coalesce("__late", F.array().cast("array<double>"))), asc=False), 1, TELLING).alias("__top"),
         )
-        out = rows.join(part, "__row")
+        out = rows.select("__row", *[F.col(f"`{c}`") for c in keep]).join(part, "__row")
     largest = [F.greatest(F.least(F.coalesce(F.get("__top", F.lit(i)), F.lit(0.0)), F.lit(20.0)), F.lit(-20.0)) for i in range(TELLING)]
     mean = F.when(F.col("__chars") > 0, F.col("__sum") / F.col("__chars") * 10).otherwise(F.lit(0.0))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.array(mean, *largest).alias("__x"))
+    return out.select(*[F.col(f"`{c}`") for c in keep], F.array(mean, *largest).alias("__x"))
 
 
 def train(labelled: DataFrame, hot_words: int = HOT_WORDS) -> Model | None:
@@ -263,7 +265,7 @@ def train(labelled: DataFrame, hot_words: int = HOT_WORDS) -> Model | None:
     rest = rows.filter("part = 0").select("toxic", "text")
     if rest.count() > CALIBRATION_ROWS:
         rest = rest.orderBy(F.xxhash64("text"), "text").limit(CALIBRATION_ROWS)
-    got = measured(rest, model, hot_words).select("toxic", "__x").toPandas()
+    got = measured(rest, model, hot_words, ["toxic"]).toPandas()
     release(rows)
     if got["toxic"].nunique() < 2:
         return None
@@ -271,12 +273,12 @@ def train(labelled: DataFrame, hot_words: int = HOT_WORDS) -> Model | None:
     return model
 
 
-def score(docs: DataFrame, model: Model | None, hot_words: int = HOT_WORDS) -> DataFrame:
-    """docs with tox_score and tox_label."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+def score(docs: DataFrame, model: Model | None, hot_words: int = HOT_WORDS, keep: list[str] | None = None) -> DataFrame:
+    """The columns of docs that are kept (all, if not named), tox_score and tox_label."""
+    columns = [F.col(f"`{c}`") for c in keep or docs.columns]
     if model is None:
         return docs.select(*columns, F.lit(0.0).alias("tox_score"), F.lit(0).alias("tox_label"))
-    out = measured(docs, model, hot_words).select(*columns, model.score("__x").alias("tox_score"))
+    out = measured(docs, model, hot_words, keep).select(*columns, model.score("__x").alias("tox_score"))
     return out.select(*columns, "tox_score", (F.col("tox_score") >= 0.5).cast("int").alias("tox_label"))
 
 
@@ -290,5 +292,5 @@ def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(labelled_rows(docs, table(spark, sf_dir, "labels")))
-    out = score(docs.withColumn("held_out", fold(F.col("doc_id"), 5) == 0), model)
+    out = score(docs.withColumn("held_out", fold(F.col("doc_id"), 5) == 0), model, keep=["doc_id", "held_out"])
     return out.select("doc_id", "held_out", F.col("tox_score").alias("score"), F.col("tox_label").alias("predicted"))
