@@ -2,10 +2,17 @@
 
 A pass gives every vector a key of concatenated random-hyperplane bits, sorts all vectors by it, and compares each with
 the neighbours in a bounded window. Links found in any pass are verified by cosine in double precision and united. Equal
-vectors are one vector with a count, so a group of copies costs one row. Windows bound the comparisons of a pass, not
-the links: once the passes have found which vectors hang together, the vectors of each component are compared in blocks,
-all with all inside the component, and only counts leave a block. A component larger than a block is dealt out as pairs
-of blocks.
+vectors are one vector with a count, so a group of copies costs one row.
+
+How many passes a vector takes part in isn't fixed. Where the rows that share the first k bits of a vector's key all lie
+in its window, a link at the threshold was compared with a chance of at least (1 - angle / pi) ** k, whatever the data.
+The chances of its passes are multiplied up until that of having missed such a link is below `MISS`; then the vector
+leaves. A window that ends at the edge of a range partition counts for nothing. When comparing all that are left with
+one another costs less than the passes still needed, as in small tables and in dense ranges, they are compared in
+blocks, all with all.
+
+Once it is known which vectors hang together, the vectors of each component are compared in blocks, all with all inside
+the component, and only counts leave a block. A component larger than a block is dealt out as pairs of blocks.
 
 Defined results: vectors that are null, empty, of zero length, or hold null or non-finite values link with nothing and
 are components of their own; vectors of different dimension link with nothing; equal rows (same vec_id) count as vectors
@@ -26,6 +33,8 @@ PASSES = 20
 BITS = 40
 WINDOW = 256
 BLOCK = 2048
+#: Passes of a vector go on until the chance of having missed a link of it at the threshold is below this.
+MISS = 1e-4
 
 
 def unit(rows) -> np.ndarray:
@@ -33,14 +42,14 @@ def unit(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _keys(passes: int, bits: int):
+def _keys(passes: int, bits: int, first: int):
     planes: dict[int, np.ndarray] = {}
 
     def of(batches):
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["embedding"].map(len)):
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng(7919 + dim).standard_normal((dim, passes * bits))
+                    planes[dim] = np.random.default_rng((7919 + dim, first)).standard_normal((dim, passes * bits))
                 on = (unit(part["embedding"]) @ planes[dim] >= 0).reshape(len(part), passes, bits)
                 key = on @ (1 << np.arange(bits, dtype=np.int64)[::-1])
                 yield pd.DataFrame({"dim": dim, "pass": np.tile(np.arange(passes, dtype=np.int32), len(part)), "key": key.ravel(), "id": np.repeat(part["id"].to_numpy(), passes), "embedding": part["embedding"].repeat(passes).to_numpy()})
@@ -48,9 +57,33 @@ def _keys(passes: int, bits: int):
     return of
 
 
-def _window_links(window: int, threshold: float):
+def _agree(threshold: float) -> float:
+    """Chance that two vectors at the threshold are on the same side of a random hyperplane."""
+    return 1 - float(np.arccos(np.clip(threshold, -1, 1))) / np.pi
+
+
+def _log_miss(agree: float, bits):
+    """Logarithm of the chance that a link at the threshold differs in one of so many bits."""
+    return np.log1p(-np.minimum(agree**bits, 1 - 1e-9))
+
+
+def _certified(pdf: pd.DataFrame, window: int, bits: int, agree: float) -> pd.DataFrame:
+    """What the pass is worth to the rows that have `window` rows before and behind them: the bits that neither the first
+    row before the window nor the first behind it shares are enough to hold the row's whole bucket inside the window."""
+    key, group = pdf["key"].to_numpy(), pdf[["pass", "dim"]].to_numpy()
+
+    def shared(other):
+        far = np.frexp((key[window:-window] ^ key[other]).astype(np.float64))[1]
+        return np.where((group[window:-window] == group[other]).all(1), bits - far, -1)
+
+    deep = np.maximum(shared(slice(None, -2 * window)), shared(slice(2 * window, None))) + 1
+    gain = np.where(deep > bits, 0.0, _log_miss(agree, deep.astype(np.float64)))
+    return pd.DataFrame({"a": pdf["id"].to_numpy()[window:-window], "b": pd.array([None] * len(gain), "Int64"), "gain": gain})
+
+
+def _window_links(window: int, threshold: float, bits: int):
     """Compares each row with at least `window` rows behind it, and gives one link from each row to the least row that the
-    links of its window reach."""
+    links of its window reach, and, with b null, what the pass is worth to it."""
 
     def links(x, ids, groups, fresh):
         sim = x[:fresh] @ x.T
@@ -66,11 +99,15 @@ def _window_links(window: int, threshold: float):
                 break
             label = low
         k = np.flatnonzero(label != np.arange(len(x)))
-        return pd.DataFrame({"a": ids[k], "b": ids[label[k]]})
+        return pd.DataFrame({"a": ids[k], "b": pd.array(ids[label[k]], "Int64"), "gain": 0.0})
 
     def of(batches):
-        held = None
+        held = seen = None
         for pdf in batches:
+            seen = pdf[["pass", "dim", "key", "id"]] if seen is None else pd.concat([seen, pdf[["pass", "dim", "key", "id"]]], ignore_index=True)
+            if len(seen) > 2 * window:
+                yield _certified(seen, window, bits, _agree(threshold))
+                seen = seen.iloc[-2 * window :]
             held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             while len(held) >= 4 * window:
                 yield from step(held.iloc[: 3 * window], 2 * window)
@@ -89,6 +126,65 @@ def _window_links(window: int, threshold: float):
     return of
 
 
+def _block_links(threshold: float):
+    """All links of a pair of chunks; gives one link from each row to the least row that they reach."""
+
+    def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, p in pdf.groupby("dim", sort=False):
+            ids, chunk = p["id"].to_numpy(), p["chunk"].to_numpy()
+            left, right = np.flatnonzero(chunk == key[0]), np.flatnonzero(chunk == key[1])
+            x = unit(p["embedding"])
+            y = x[right]
+            label = np.arange(len(p))
+            for s in range(0, len(left), 512):
+                i, j = np.nonzero(x[left[s : s + 512]] @ y.T >= threshold)
+                i, j = left[s : s + 512][i], right[j]
+                while (open_ := label[i] != label[j]).any():
+                    i, j = i[open_], j[open_]
+                    up = np.arange(len(p))
+                    np.minimum.at(up, np.maximum(label[i], label[j]), np.minimum(label[i], label[j]))
+                    while (up[up] != up).any():
+                        up = up[up]
+                    label = up[label]
+            k = np.flatnonzero(label != np.arange(len(p)))
+            out.append(pd.DataFrame({"a": ids[k], "b": ids[label[k]]}))
+        return pd.concat(out, ignore_index=True)
+
+    return of
+
+
+def _links(vectors: DataFrame, n: int, threshold: float, passes: int, bits: int, window: int, block: int) -> DataFrame:
+    """vectors (id, embedding), n rows -> (a, b): links that hold together what links at the threshold hold together."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    parts = max(8, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    left = vectors.select("id", "embedding", F.lit(0.0).alias("miss"))
+    links = vectors.sparkSession.createDataFrame([], "a long, b long")
+    enough, done = float(np.log(MISS)), 0
+    need = enough / _log_miss(_agree(threshold), max(0.0, np.log2(max(n, 1) / window)) + 1.5)
+    # a pass compares a row with about three windows of rows
+    while need * 3 * window < n:
+        run = int(np.ceil(min(passes, need)))
+        keyed = left.select("id", "embedding").mapInPandas(_keys(run, bits, done), "dim int, pass int, key long, id long, embedding " + kind)
+        ordered = keyed.repartitionByRange(parts, "pass", "dim", "key", "id").sortWithinPartitions("pass", "dim", "key", "id")
+        found = materialise(ordered.mapInPandas(_window_links(window, threshold, bits), "a long, b long, gain double"))
+        links = links.union(found.filter("b IS NOT NULL").select("a", "b"))
+        gains = found.filter("b IS NULL").groupBy("a").agg(F.sum("gain").alias("gain"))
+        left = materialise(left.join(gains, F.col("id") == F.col("a"), "left").select("id", "embedding", (F.col("miss") + F.coalesce("gain", F.lit(0.0))).alias("miss")).filter(F.col("miss") > enough))
+        done += run
+        n, mean = left.agg(F.count(F.lit(1)), F.avg("miss")).first()
+        need = (enough - mean) * done / mean if n and mean < 0 else np.inf
+    if n < 2:
+        return links
+    chunks = max(-(-n // (8 * block)), min(8, -(-n // block)))
+    pairs = (
+        left.select("id", "embedding", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+        .withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
+    )
+    return links.union(pairs.select("lo", "hi", "dim", "chunk", "id", "embedding").groupBy("lo", "hi").applyInPandas(_block_links(threshold), "a long, b long"))
+
+
 def _count_links(threshold: float):
     def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = key[1], key[2]
@@ -123,10 +219,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     # equal vectors are one: its least vec_id stands for it
     distinct = materialise(good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")))
     member = good.join(distinct.withColumnRenamed("embedding", "same"), F.col("embedding") == F.col("same")).select("vec_id", "id", "copies")
-    keyed = distinct.select("id", "embedding").mapInPandas(_keys(passes, bits), "dim int, pass int, key long, id long, embedding " + distinct.schema["embedding"].dataType.simpleString())
-    parts = max(8, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = keyed.repartitionByRange(parts, "pass", "dim", "key", "id").sortWithinPartitions("pass", "dim", "key", "id")
-    found = ordered.mapInPandas(_window_links(window, threshold), "a long, b long")
+    found = _links(distinct.select("id", "embedding"), distinct.count(), threshold, passes, bits, window, block)
     roots = materialise(components(found))
     sizes = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
     inside = (

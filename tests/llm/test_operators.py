@@ -117,6 +117,30 @@ def test_embedding_links_against_all_pairs(spark, window, block):
     assert all(got[i] == (0, i, True) for i in range(200, 206))
 
 
+@pytest.mark.parametrize("shared", [0.0, 0.7])
+def test_embedding_pairs_are_found_in_large_and_dense_tables(spark, shared):
+    rng = np.random.default_rng(11)
+    n, dim, window = 4000, 64, 32
+    x = rng.standard_normal((n, dim))
+    x[:, 0] = 0
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    # the second half holds a partner at cosine 0.9 of each of the first 500, in a topic of mutual cosine `shared`
+    other = rng.standard_normal((500, dim))
+    other[:, 0] = 0
+    other -= (other * x[:500]).sum(1, keepdims=True) * x[:500]
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    c = (0.9001 - shared) / (1 - shared)
+    x[2000:2500] = c * x[:500] + np.sqrt(1 - c * c) * other
+    x *= np.sqrt(1 - shared)
+    x[:, 0] = np.sqrt(shared)
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), window=window).collect()
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    top = roots(range(n), zip(*np.nonzero(np.triu(near)), strict=True))
+    assert near.sum() >= 1000
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (near[i].sum(), top[i]) for i in range(n)}
+
+
 # ---- 5
 def test_chat_links_quotes_and_orders_replies(spark):
     rows = [
