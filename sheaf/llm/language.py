@@ -18,17 +18,16 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
 GRAMS = (1, 2, 3, 4)
 BINS = 1 << 14
-#: Bounds of the training sample: texts and landmarks of each language, and the bytes of each that are used for fitting.
+#: Bounds of the training sample: distinct texts and landmarks of each language.
 TRAIN_TEXTS = 400
 LANDMARKS = 64
-TRAIN_CHARS = 20_000
 RIDGE = 1e-3
 
 _not_letters = regex.compile(r"\P{L}+")
@@ -66,9 +65,9 @@ class Model:
         return (x @ self.weights) / size
 
 
-def fit(texts: list[bytes], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+def fit(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """x: what presence() gives for the training texts."""
     languages = sorted(set(labels))
-    x = presence(texts)
     size = np.sqrt(np.maximum(x.sum(1), 1))
     y = np.array([[1.0 if a == b else -1.0 for b in languages] for a in labels])
     lab = np.array(labels)
@@ -107,15 +106,21 @@ def _predict(model: Model | None):
     return of
 
 
+def _packed(batches):
+    for pdf in batches:
+        x = [np.packbits(presence([tokens(t)])[0] > 0).tobytes() for t in pdf["text"]]
+        yield pdf[["lang", "h"]].assign(x=pd.Series(x, dtype=object, index=pdf.index))
+
+
 def train(labelled: DataFrame, texts: int = TRAIN_TEXTS) -> Model | None:
-    """labelled: (text, lang). At most `texts` rows a language, drawn by hash, are read by the driver."""
-    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    drawn = []
-    for r in sorted(usable.groupBy("lang").count().collect(), key=lambda r: r["lang"]):
-        share = int(min(1.0, 2 * texts / r["count"]) * 1_000_000) + 1
-        one = usable.filter((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share))
-        drawn += one.select(F.substring("text", 1, TRAIN_CHARS).alias("text"), "lang").orderBy(F.xxhash64("text"), "text").limit(texts).collect()
-    return fit([tokens(r.text) for r in drawn], [r.lang for r in drawn]) if drawn else None
+    """labelled: (text, lang). At most `texts` distinct texts a language, the first by hash, are fitted on, each whole; the
+    driver reads only which n-grams they have."""
+    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
+    first = usable.select("lang", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= texts)
+    last = first.groupBy("lang").agg(F.max("h").alias("last"))
+    drawn = usable.join(F.broadcast(last), "lang").filter("h <= last").select("lang", "h", "text").distinct().mapInPandas(_packed, "lang string, h long, x binary").collect()
+    drawn.sort(key=lambda r: (r.lang, r.h, bytes(r.x)))
+    return fit(np.array([np.unpackbits(np.frombuffer(r.x, np.uint8)) for r in drawn], np.float32), [r.lang for r in drawn]) if drawn else None
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

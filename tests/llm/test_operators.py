@@ -234,6 +234,21 @@ def test_language_held_out_accuracy_and_und(spark):
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1000, 1001, 1002)) and all(0 <= x.score <= 1 for x in got.values())
 
 
+def test_language_training_draws_distinct_whole_texts(spark, monkeypatch):
+    r = random.Random(12)
+    texts = [prose(r, 20) for _ in range(30)]
+    tail = "x" * 25_000 + " zq"
+    rows = [(t, "aa") for t in texts] + [(texts[0], "aa")] * 3000 + [(tail, "bb"), (prose(r, 20, "xyz"), "bb")]
+    seen = []
+    fit = language.fit
+    monkeypatch.setattr(language, "fit", lambda x, labels, *a: (seen.append((x, labels)), fit(x, labels, *a))[1])
+    language.train(spark.createDataFrame(rows, "text string, lang string"), texts=20)
+    (x, labels) = seen[0]
+    assert labels.count("aa") == 20 and labels.count("bb") == 2
+    assert len({row.tobytes() for row, k in zip(x, labels, strict=True) if k == "aa"}) == 20
+    assert any((row == language.presence([language.tokens(tail)])[0]).all() for row in x)
+
+
 # ---- 10
 def test_packing_has_no_conflict_and_loses_no_word(spark):
     r = random.Random(9)
