@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The folder of a local session that names none.
+_local: str | None = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,9 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="sheaf-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    global _local
+    _local = _local or tempfile.mkdtemp(prefix="sheaf-")
+    return _local
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -47,6 +51,14 @@ def release(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def key_of(column: str) -> Column:
     """Join key that also matches null with null."""
     return F.coalesce(F.col(column).cast("long"), F.lit(-(2**63)))

@@ -212,14 +212,37 @@ def test_toxicity_learns_words_and_spellings(spark):
     got = {x.doc_id: x for x in toxicity.score(docs, model).collect()}
     assert np.mean([got[i].tox_label == y for i, _, y in rows[700:]]) > 0.95
     assert got[9000].tox_label == 0 and got[9000].tox_score == got[9001].tox_score == got[9002].tox_score
-    # words beyond those sent out are joined, with the same result
-    docs = docs.withColumn("word", F.lit(1)).withColumn("n", F.lit(None).cast("string"))
-    late = toxicity.score(docs, model, hot_words=40)
-    assert late.columns == [*docs.columns, "tox_score", "tox_label"]
-    late = {x.doc_id: x.tox_score for x in late.collect()}
-    assert late.keys() == got.keys() and all(abs(late[i] - got[i].tox_score) < 1e-9 for i in got)
+    # expressions beyond those sent at once come in parts, with the same result
+    docs = docs.withColumn("word", F.lit(1)).withColumn("row", F.lit(None).cast("string")).withColumn("tox_score", F.lit(9))
+    late = toxicity.score(docs, model, sent=1)
+    assert model.known.number > 2 and late.columns == ["doc_id", "text", "word", "row", "tox_score", "tox_label"]
+    late = {x.doc_id: x for x in late.collect()}
+    assert late.keys() == got.keys() and all(abs(late[i].tox_score - got[i].tox_score) < 1e-9 and late[i].word == 1 for i in got)
     assert toxicity.score(docs, None).filter("tox_score = 0").count() == docs.count()
     assert toxicity.score(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+    big = [(2**60 + i, "zaxxor said so") for i in range(4)] + [(None, "plain")]
+    assert {x.doc_id for x in toxicity.score(spark.createDataFrame(big, "doc_id long, text string"), model).collect()} == {i for i, _ in big}
+
+
+def test_toxicity_counts_against_plain_counting():
+    import pyarrow as pa
+
+    texts, toxic = ["Ab cd ab", "cd É-x cd", None, "", "“ab” 1cd"], [1, 0, 1, 0, 1]
+    batch = pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(texts)], names=["toxic", "text"])
+    got = {r["body"]: (r["t"], r["o"], r["f_t"], r["f_o"]) for b in toxicity._count_words([batch]) for r in b.to_pylist()}
+    # a word's followers are counted with it; the start of a text has no body
+    assert got == {b"ab": (2, 0, 2, 0), b"cd": (2, 1, 1, 1), "é".encode(): (0, 1, 0, 1), b"x": (0, 1, 0, 1), None: (0, 0, 2, 1)}
+    assert toxicity.discounts([100, 40, 20, 10]) == pytest.approx((1 - 2 * 40 / 180, 2 - 3 * (100 / 180) * 0.5, 3 - 4 * (100 / 180) * 0.5))
+    kept = sum((list(zip(*toxicity._summed([(w.word, np.ones(len(w), np.int64))]), strict=True)) for _, _, w in toxicity.words(pa.array(["a b a", "b"]))), [])
+    assert sorted(n for _, n in kept) == [2, 2]
+
+
+def test_toxicity_training_texts_are_distinct_and_not_held_out(spark):
+    rows = [(i, f"text {i % 50}") for i in range(300)] + [(None, "text 0")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 50 < 10)) for i in range(300)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    got = [(r.text, r.toxic) for r in toxicity.labelled_rows(docs, labels).collect()]
+    folds = {r.doc_id for r in docs.filter(language.fold(F.col("doc_id"), 5) != 0).collect()}
+    assert sorted(got) == sorted({(t, int(i % 50 < 10)) for i, t in rows if i in folds})
 
 
 # ---- 9
