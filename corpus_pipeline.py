@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm import minhash_dedup, mixing, packing, suffix_dedup, toxicity
-from sheaf.llm.common import materialise, table
+from sheaf.llm.common import fresh, materialise, release, table
 
 
 def _like_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
@@ -18,7 +18,8 @@ def _like_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model).filter("tox_label = 0").select(*docs.columns)
+    names = fresh(docs, "tox_score"), fresh(docs, "tox_label")
+    return toxicity.score(docs, model, names=names).filter(F.col(f"`{names[1]}`") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
