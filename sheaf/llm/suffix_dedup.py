@@ -12,8 +12,11 @@ How a string that starts in two places is found, whatever the size of the corpus
 3. Those contexts are dealt out in blocks. A block cuts them into cells of `CELL` bytes, aligned at the anchor, and
    sorts all cell suffixes with the grouping suffix array of suffix_groups. Neighbours that agree in all whole cells of
    a window are the candidates; the bytes at both ends are then compared, so that the answer is exact to the byte.
-4. The contexts of an anchor with more than `block` of them are dealt out over several blocks. Windows that their own
-   block doesn't settle, and one of each that it does, are counted over all blocks by their hash.
+4. An anchor with more than `block` contexts is hot. The windows of its contexts are split by where the anchor stands in
+   them: a node of four to the power k neighbouring offsets has a core, the bytes that all its windows share, and, of
+   each context, an extent, the bytes that any of the context's windows in it covers. Contexts with equal extents repeat
+   there as a whole; those with equal cores and differing extents are split in four; any other holds nothing that
+   repeats. So a context costs a few rows a level, not one a window, and no group is gathered in a task.
 5. The marked runs come back to the texts, which are read once more to cut them.
 
 Equality is that of 64-bit hashes of whole windows under equal 64-bit anchor hashes.
@@ -31,8 +34,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import key_of, materialise, release, table
+from .common import fresh, key_of, materialise, release, table
 from .suffix_groups import suffix_array
 from .textscan import U64, buffers, mix64, prefix_hash, rolling_hash, slices, sliding_min, span_hash
 
@@ -41,6 +45,9 @@ CELL = 16
 #: Contexts in a block. One context has some 500 bytes, so a block takes a few MB.
 BLOCK = 4000
 
+#: Sizes of the nodes of offsets, falling.
+NODES = (256, 64, 16, 4, 1)
+
 _RUNS = "doc long, th long, h long, c long, lo long, n int, a int"
 _SPANS = "doc long, th long, start long, stop long"
 
@@ -90,13 +97,13 @@ def _cut_contexts(length: int):
             want = batch.column(3)
             rows = np.repeat(np.arange(len(want)), np.diff(want.offsets.to_numpy()))
             w = want.flatten()
-            h, salt, lo, n, a, hot = (w.field(x).to_numpy(zero_copy_only=False) for x in ("h", "salt", "lo", "n", "a", "hot"))
+            h, block, lo, n, a, hot = (w.field(x).to_numpy(zero_copy_only=False) for x in ("h", "block", "lo", "n", "a", "hot"))
             begin = at[rows] + lo
             blob = data.tobytes()
             for s in range(0, len(rows), 4000):
                 e = min(s + 4000, len(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows[s:e])), batch.column(1).take(pa.array(rows[s:e])), pa.array(h[s:e]), pa.array(salt[s:e]), pa.array(lo[s:e]), pa.array(n[s:e]), pa.array(a[s:e]), pa.array(hot[s:e]),
+                    [batch.column(0).take(pa.array(rows[s:e])), batch.column(1).take(pa.array(rows[s:e])), pa.array(h[s:e]), pa.array(block[s:e]), pa.array(lo[s:e]), pa.array(n[s:e]), pa.array(a[s:e]), pa.array(hot[s:e]),
                      pa.array([blob[x : x + y + length - 1] for x, y in zip(begin[s:e].tolist(), n[s:e].tolist(), strict=True)], type=pa.binary())],
                     names=["doc", "th", "h", "block", "lo", "n", "a", "hot", "bytes"],
                 )
@@ -104,11 +111,10 @@ def _cut_contexts(length: int):
     return cut
 
 
-def repeated_windows(texts: list[bytes], anchors: np.ndarray, groups: np.ndarray, length: int, every: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For contexts aligned at their anchors: (context, offset, key, whether another place here has it) of windows.
+def repeated_windows(texts: list[bytes], anchors: np.ndarray, groups: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For contexts aligned at their anchors: (context, offset) of the windows that stand in two places here.
 
-    The windows are those that the suffix array over cells makes candidates, and all of the contexts marked in every.
-    A window's key is its hash under the hash of its anchor."""
+    The suffix array over cells gives the candidates, whose bytes are then compared, under the hash of their anchors."""
     sizes = np.array([len(t) for t in texts])
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     base = np.concatenate(([0], np.cumsum(sizes)))
@@ -146,11 +152,6 @@ def repeated_windows(texts: list[bytes], anchors: np.ndarray, groups: np.ndarray
     who = np.repeat(who, CELL)
     ok = (begins >= base[who]) & (begins + length <= base[who + 1])
     begins, who = begins[ok], who[ok]
-    if every.any():
-        windows = np.where(every, np.maximum(sizes - length + 1, 0), 0)
-        all_of = np.repeat(np.arange(len(texts)), windows)
-        begins = np.concatenate((begins, base[all_of] + np.arange(len(all_of)) - np.repeat(np.cumsum(windows) - windows, windows)))
-        who = np.concatenate((who, all_of))
     seen, first_at = np.unique(begins, return_index=True)
     begins, who = seen, who[first_at]
     prefix = prefix_hash(data)
@@ -158,33 +159,84 @@ def repeated_windows(texts: list[bytes], anchors: np.ndarray, groups: np.ndarray
     key = span_hash(prefix, begins, begins + length) ^ mix64(groups[who].astype(np.int64).view(U64) + (anchors[who] - offset).astype(U64))
     _, back, times = np.unique(key, return_inverse=True, return_counts=True)
     twice = times[back] > 1
-    return who, offset, key, twice
+    return who[twice], offset[twice]
 
 
 def _block(length: int):
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         n, a = pdf["n"].to_numpy(), pdf["a"].to_numpy().astype(np.int64)
-        who, offset, key, twice = repeated_windows(list(pdf["bytes"]), a, pdf["h"].to_numpy(), length, pdf["hot"].to_numpy())
-        ok = offset < n[who]
-        who, offset, key, twice = who[ok], offset[ok], key[ok], twice[ok]
-        doc, th, lo, hot = (pdf[x].to_numpy() for x in ("doc", "th", "lo", "hot"))
-        w, o = who[twice], offset[twice]
-        fresh = np.ones(len(w), bool)
-        fresh[1:] = (w[1:] != w[:-1]) | (o[1:] != o[:-1] + 1)
-        f = np.flatnonzero(fresh)
+        w, o = repeated_windows(list(pdf["bytes"]), a, pdf["h"].to_numpy(), length)
+        ok = o < n[w]
+        w, o = w[ok], o[ok]
+        doc, th, lo = (pdf[x].to_numpy() for x in ("doc", "th", "lo"))
+        fresh_ = np.ones(len(w), bool)
+        fresh_[1:] = (w[1:] != w[:-1]) | (o[1:] != o[:-1] + 1)
+        f = np.flatnonzero(fresh_)
         l = np.append(f[1:], len(w)) - 1 if len(f) else f
-        out = [pd.DataFrame({"doc": doc[w[f]], "th": th[w[f]], "start": lo[w[f]] + o[f], "stop": lo[w[f]] + o[l] + length, "key": np.zeros(len(f), np.int64), "open": np.zeros(len(f), np.int8)})]
-        if hot.any():  # other blocks hold more of these anchors: what is open, and one of each that is settled
-            open_ = ~twice & hot[who]
-            w, o = who[open_], offset[open_]
-            out.append(pd.DataFrame({"doc": doc[w], "th": th[w], "start": lo[w] + o, "stop": lo[w] + o + length, "key": key[open_].view(np.int64), "open": np.ones(len(w), np.int8)}))
-            one = np.unique(key[twice & hot[who]]).view(np.int64)
-            out.append(pd.DataFrame({"doc": np.zeros(len(one), np.int64), "th": np.zeros(len(one), np.int64), "start": np.zeros(len(one), np.int64), "stop": np.zeros(len(one), np.int64), "key": one, "open": np.full(len(one), 2, np.int8)}))
-        return pd.concat(out, ignore_index=True)
+        return pd.DataFrame({"doc": doc[w[f]], "th": th[w[f]], "start": lo[w[f]] + o[f], "stop": lo[w[f]] + o[l] + length})
 
     return settle
 
 
+_NODE = "id long, doc long, th long, first long, start long, stop long, key long, extent long"
+
+
+def _nodes(length: int, size: int):
+    """(id, doc, th, h, lo, n, a, bytes) -> the nodes of a size in which a context has windows; with a list of first
+    offsets of larger nodes, only those inside them."""
+    offsets = length - min(GRAM, length) + 1
+
+    def of(batches):
+        for batch in batches:
+            ids, doc, th, h, lo, n, a = (batch.column(k).to_numpy().astype(np.int64) for k in range(7))
+            data, at = buffers(batch.column(7), pa.large_binary())
+            if batch.num_columns == 9:
+                up = batch.column(8)
+                row = np.repeat(np.arange(len(up)), np.diff(up.offsets.to_numpy()))
+                least, count = up.flatten().to_numpy(), np.full(len(row), NODES[0] // NODES[1])
+            else:
+                row, least = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+                count = np.full(len(row), -(-offsets // size))
+            first = np.repeat(least, count) + size * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+            row = np.repeat(row, count)
+            last = np.minimum(first + size, offsets) - 1
+            begin, end = np.maximum(first, (a - n + 1)[row]), np.minimum(last, a[row])
+            ok = np.flatnonzero(begin <= end)
+            row, first, last, begin, end = (x[ok] for x in (row, first, last, begin, end))
+            prefix = prefix_hash(data)
+            anchor = at[row] + a[row]
+            core = span_hash(prefix, anchor - first, anchor + length - last)
+            key = mix64(core ^ mix64(h[row].view(U64) + first.astype(U64)))
+            extent = span_hash(prefix, anchor - end, anchor + length - begin) ^ mix64((begin * 1024 + end).astype(U64))
+            start = lo[row] + a[row] - end
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (ids[row], doc[row], th[row], first, start, start + (end - begin) + length, key.view(np.int64), extent.view(np.int64))],
+                names=["id", "doc", "th", "first", "start", "stop", "key", "extent"],
+            )
+
+    return of
+
+
+def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
+    """(doc, th, start, stop) of the repeated windows of contexts of hot anchors."""
+    parts = ["id", "doc", "th", "h", "lo", "n", "a", "bytes"]
+    contexts = materialise(contexts.withColumn("id", F.monotonically_increasing_id()).select(*parts))
+    inside, found = contexts, None
+    for size in NODES:
+        nodes = materialise(inside.mapInArrow(_nodes(length, size), _NODE))
+        by_extent = materialise(nodes.groupBy("key", "extent").agg(F.count(F.lit(1)).alias("places"), F.min(F.struct("id", "first")).alias("one")))
+        cores = by_extent.groupBy("key").agg(F.count(F.lit(1)).alias("extents")).filter("extents > 1").select("key")
+        # what is repeated as a whole leaves; of what is split one place of each extent goes on
+        whole = materialise(nodes.join(by_extent.filter("places > 1").select("key", "extent"), ["key", "extent"], "left_semi").select("doc", "th", "start", "stop"))
+        found = whole if found is None else found.union(whole)
+        down = materialise(by_extent.join(cores, "key", "left_semi").select("one.*").groupBy("id").agg(F.collect_list("first").alias("firsts")))
+        release(nodes, by_extent)
+        if down.isEmpty():
+            break
+        inside = contexts.join(down, "id").select(*parts, "firsts")
+    return found
+
+
 def repeated_spans(keyed: DataFrame, length: int = 400, block: int = BLOCK) -> DataFrame:
     """(doc, th, start, stop): byte spans under repeated windows; spans of one text may overlap. keyed: doc, th, text."""
     runs = materialise(keyed.mapInArrow(_runs(length), _RUNS))
@@ -194,21 +246,19 @@ def repeated_spans(keyed: DataFrame, length: int = 400, block: int = BLOCK) -> D
     whole = runs.join(shared.filter("n > 1").select("h", "c"), ["h", "c"], "left_semi").select("doc", "th", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (length - 1)).alias("stop"))
 
     open_ = shared.filter("contexts > 1")
-    blocks = max(1, -(-open_.count() // block))
-    parts = F.ceil(F.col("contexts") / block).cast("long")
-    salt = F.when(parts > 1, F.xxhash64("h", F.pmod("c", parts))).otherwise(F.pmod(F.xxhash64("h"), F.lit(blocks)))
-    want = open_.select(F.col("one.doc").alias("doc"), F.col("one.th").alias("th"), F.struct("h", salt.alias("salt"), F.col("one.lo").alias("lo"), F.col("one.len").alias("n"), F.col("one.a").alias("a"), (parts > 1).alias("hot")).alias("w"))
+    hot = F.col("contexts") > block
+    blocks = max(1, -(-open_.filter(~hot).count() // block))
+    place = F.pmod(F.xxhash64("h"), F.lit(blocks))
+    want = open_.select(F.col("one.doc").alias("doc"), F.col("one.th").alias("th"), F.struct("h", place.alias("block"), F.col("one.lo").alias("lo"), F.col("one.len").alias("n"), F.col("one.a").alias("a"), hot.alias("hot")).alias("w"))
     want = want.groupBy("doc", "th").agg(F.collect_list("w").alias("want"))
     # equal rows have equal texts: one of them is enough
-    contexts = (
+    contexts = materialise(
         keyed.join(want, ["doc", "th"]).select("doc", "th", "text", "want")
         .mapInArrow(_cut_contexts(length), "doc long, th long, h long, block long, lo long, n int, a int, hot boolean, bytes binary")
     )
-    settled = materialise(contexts.groupBy("block").applyInPandas(_block(length), _SPANS + ", key long, open byte"))
-    pending = settled.filter("open > 0")
-    more = pending.groupBy("key").agg(F.count(F.lit(1)).alias("places")).filter("places > 1").select("key")
-    late = pending.filter("open = 1").join(more, "key", "left_semi").select("doc", "th", "start", "stop")
-    return whole.union(settled.filter("open = 0").select("doc", "th", "start", "stop")).union(late)
+    settled = contexts.filter("NOT hot").groupBy("block").applyInPandas(_block(length), _SPANS)
+    out = whole.union(settled)
+    return out if open_.filter(hot).isEmpty() else out.union(_hot_spans(contexts.filter("hot"), length))
 
 
 def merge_spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,21 +277,20 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def dedup_text(docs: DataFrame, length: int = 400, block: int = BLOCK, digest: bool = False) -> DataFrame:
-    """docs with `text` cut, and n_bytes, n_removed, n_spans. With digest, text gives way to kept_sha256.
+    """docs with `text` cut, and n_bytes, n_removed, n_spans. With digest, text gives way to kept_sha256. A column of docs
+    that has the name of one of these gives way to it.
 
     A cut inside a character drops that character's other bytes from `text`, not from the digest or the counts."""
-    spans = repeated_spans(_keyed(docs), length, block).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
-    kept = [c for c in docs.columns if c != "text"]
-    text = F.coalesce(F.col("text"), F.lit(""))
+    last = "kept_sha256" if digest else "text"
+    made = ["n_bytes", "n_removed", "n_spans", last]
+    kept = [c for c in docs.columns if c not in (*made, "text")]
+    doc, th, spans = fresh(docs, "doc"), fresh(docs, "th"), fresh(docs, "spans")
+    found = repeated_spans(_keyed(docs), length, block).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "stop")).alias(spans)).withColumnsRenamed({"doc": doc, "th": th})
     joined = (
-        docs.withColumn("_doc", key_of("doc_id")).withColumn("_th", F.xxhash64(text))
-        .join(spans.withColumnsRenamed({"doc": "_doc", "th": "_th"}), ["_doc", "_th"], "left")
-        .select(*[F.col(f"`{c}`") for c in kept], "text", "_spans")
+        docs.withColumn(doc, key_of("doc_id")).withColumn(th, F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).join(found, [doc, th], "left")
+        .select(*[F.col(f"`{c}`") for c in kept], "text", spans)
     )
-    last = "kept_sha256" if digest else "text"
-    fields = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    schema += f", n_bytes long, n_removed long, n_spans long, {last} string"
+    schema = StructType([*(docs.schema[c] for c in kept), *(StructField(c, LongType()) for c in made[:3]), StructField(last, StringType())])
 
     def finish(batches):
         for batch in batches:
@@ -268,7 +317,7 @@ def dedup_text(docs: DataFrame, length: int = 400, block: int = BLOCK, digest: b
                 result.append(hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(x) for x in range(k)), pa.array(np.diff(at).astype(np.int64)), pa.array(removed, pa.int64()), pa.array(number, pa.int64()), pa.array(result, pa.string())],
-                names=[*kept, "n_bytes", "n_removed", "n_spans", last],
+                names=[*kept, *made],
             )
 
     return joined.mapInArrow(finish, schema)

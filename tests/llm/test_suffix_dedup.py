@@ -57,7 +57,7 @@ def test_suffix_array_equals_sorting():
         assert suffix_array(np.array(s, dtype=np.int64)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-@pytest.mark.parametrize("seed,length,block", [(1, 120, 4000), (2, 120, 7), (3, 400, 5)])
+@pytest.mark.parametrize("seed,length,block", [(1, 120, 4000), (2, 120, 7), (3, 400, 5), (4, 400, 1)])
 def test_against_brute_force(spark, seed, length, block):
     texts = corpus(seed)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, th string").repartition(5)
@@ -65,6 +65,14 @@ def test_against_brute_force(spark, seed, length, block):
     assert got == dict(enumerate(brute(texts, length)))
 
 
+def test_columns_of_any_name_and_ids_beside_null(spark):
+    t = "".join(chr(97 + i * i % 23) for i in range(600))
+    rows = [(2**60 + 1, t, 7, "a", 5), (None, t + "x", 8, "b", 6), (2**60 + 3, "z", 9, None, 7)]
+    got = dedup_text(spark.createDataFrame(rows, "doc_id long, text string, doc int, spans string, n_bytes int"))
+    assert got.columns == ["doc_id", "doc", "spans", "n_bytes", "n_removed", "n_spans", "text"]
+    assert sorted((r.doc, r.doc_id, r.spans, r.n_bytes, r.text) for r in got.collect()) == [(7, 2**60 + 1, "a", 600, ""), (8, None, "b", 601, "x"), (9, 2**60 + 3, None, 1, "z")]
+
+
 def test_nulls_empty_tables_and_repeated_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert dedup_text(docs).count() == 0
