@@ -43,7 +43,7 @@ from .textscan import U64, buffers, mix64, prefix_hash, rolling_hash, slices, sl
 GRAM = 96
 CELL = 16
 #: Contexts in a block. One context has some 500 bytes, so a block takes a few MB.
-BLOCK = 4000
+BLOCK = 2000
 
 #: Sizes of the nodes of offsets, falling.
 NODES = (256, 64, 16, 4, 1)
@@ -256,7 +256,7 @@ def repeated_spans(keyed: DataFrame, length: int = 400, block: int = BLOCK) -> D
         keyed.join(want, ["doc", "th"]).select("doc", "th", "text", "want")
         .mapInArrow(_cut_contexts(length), "doc long, th long, h long, block long, lo long, n int, a int, hot boolean, bytes binary")
     )
-    settled = contexts.filter("NOT hot").groupBy("block").applyInPandas(_block(length), _SPANS)
+    settled = materialise(contexts.filter("NOT hot").groupBy("block").applyInPandas(_block(length), _SPANS))
     out = whole.union(settled)
     return out if open_.filter(hot).isEmpty() else out.union(_hot_spans(contexts.filter("hot"), length))
 
