@@ -53,7 +53,7 @@ TELLING = 4
 #: Expressions sent to every task, at most.
 SENT = 500_000
 #: Entries that a counting task holds before it hands them on.
-HELD = 1_000_000
+HELD = 250_000
 #: Counted pairs of words in a part of the table of pairs, about.
 PART = 1_000_000
 #: Bits of the map of labelled rows, which keeps most other texts out of the join with the labels. Its size is fixed.
@@ -109,9 +109,8 @@ class Words:
 
 def words(column: pa.Array):
     """(first row, rows, words) of the slices of a string column."""
-    data, at = buffers(pc.binary_join_element_wise("", pc.utf8_lower(column), "", " "))
-    for i, j in slices(at):
-        yield i, j - i, Words(data[at[i] : at[j]], at[i : j + 1] - at[i])
+    for i, j in slices(buffers(column)[1]):
+        yield i, j - i, Words(*buffers(pc.binary_join_element_wise("", pc.utf8_lower(column.slice(i, j - i)), "", " ")))
 
 
 def pair_key(before, word):
