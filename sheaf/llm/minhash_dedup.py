@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, key_of, materialise, table
+from .common import components, fresh, key_of, materialise, table
 from .textscan import U64, buffers, mix64, prefix_hash, slices, span_hash
 
 WORDS = 5
@@ -83,53 +83,64 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+#: Documents signed together, and points of all their processes drawn at once.
+TOGETHER, POINTS = 512, 1 << 14
+
+
 def signatures(doc: np.ndarray, h: np.ndarray, count: np.ndarray, docs: int, m: int = REGISTERS) -> np.ndarray:
-    """(docs, m) of 64-bit register values; 0 for a document without shingles."""
+    """(docs, m) of 64-bit register values; 0 for a document without shingles. doc is sorted."""
+    out = [np.zeros((0, m), dtype=U64)]
+    for s in range(0, docs, TOGETHER):
+        e = min(s + TOGETHER, docs)
+        i, j = np.searchsorted(doc, (s, e))
+        out.append(_signed(doc[i:j] - s, h[i:j], count[i:j].astype(np.int64), e - s, m))
+    return np.concatenate(out)
+
+
+def _signed(doc: np.ndarray, h: np.ndarray, count: np.ndarray, docs: int, m: int) -> np.ndarray:
     total = np.bincount(doc, weights=count, minlength=docs)
     out = np.zeros((docs, m), dtype=U64)
     horizon = (np.log(m) + 3.0) / np.maximum(total, 1)
     todo = total > 0
     while todo.any():
-        best = np.full(docs * m, np.inf)
-        value = np.zeros(docs * m, dtype=U64)
         live = todo[doc]
-        d, e, w = doc[live], h[live], count[live].astype(np.int64)
+        d, e, w = doc[live], h[live], count[live]
+        cells, times, values = [], [], []
         strip = 0
         while len(d):
             low = 0 if strip == 0 else 1 << (strip - 1)
             width = 1 if strip == 0 else low
-            state = mix64(e + U64((strip + 1) * 0xA24BAED4963EE407 % (1 << 64)))
-            time = np.zeros(len(d))
-            at, weight, until = d, w, horizon[d]
+            seed, at, weight, until, time = mix64(e + U64((strip + 1) * 0xA24BAED4963EE407 % (1 << 64))), d, w, horizon[d], np.zeros(len(d))
+            drawn = 0
             while len(at):
-                # next point of each process: its time, register and position
-                state = mix64(state + U64(0x9E3779B97F4A7C15))
-                time = time - np.log(_uniform(state)) / width
-                ok = time < until
-                at, weight, until, state, time = at[ok], weight[ok], until[ok], state[ok], time[ok]
-                if not len(at):
-                    break
-                more = mix64(state ^ U64(0xD1B54A32D192ED03))
-                register = ((more >> U64(32)) * U64(m) >> U64(32)).astype(np.int64)
-                position = low + (more & U64(width - 1)).astype(np.int64)
-                seen = position < weight
-                cell = at[seen] * m + register[seen]
-                t, v = time[seen], more[seen]
-                # earliest point in each cell: the last one written after sorting by falling time
-                order = np.argsort(-t, kind="stable")
-                cell, t, v = cell[order], t[order], v[order]
-                won = np.full(len(cell), False)
-                last = np.unique(cell[::-1], return_index=True)[1]
-                won[len(cell) - 1 - last] = True
-                cell, t, v = cell[won], t[won], v[won]
-                better = t < best[cell]
-                best[cell[better]] = t[better]
-                value[cell[better]] = v[better]
+                # the next points of each process: time, register and position; how many at once changes nothing
+                n = max(1, min(POINTS // len(at), int(((until - time) * width).max()) + 2))
+                state = mix64(seed[:, None] + U64(0x9E3779B97F4A7C15) * np.arange(drawn + 1, drawn + n + 1, dtype=U64))
+                steps = np.empty((len(at), n + 1))
+                steps[:, 0] = time
+                steps[:, 1:] = np.log(_uniform(state)) / -width
+                t = np.cumsum(steps, axis=1)[:, 1:]
+                p, k = np.nonzero(t < until[:, None])
+                more = mix64(state[p, k] ^ U64(0xD1B54A32D192ED03))
+                seen = low + (more & U64(width - 1)).astype(np.int64) < weight[p]
+                register = ((more[seen] >> U64(32)) * U64(m) >> U64(32)).astype(np.int64)
+                cells.append(at[p[seen]] * m + register)
+                times.append(t[p[seen], k[seen]])
+                values.append(more[seen])
+                ok = t[:, -1] < until
+                seed, at, weight, until, time = seed[ok], at[ok], weight[ok], until[ok], t[ok, -1]
+                drawn += n
             strip += 1
             more_weight = w > (1 << (strip - 1))
             d, e, w = d[more_weight], e[more_weight], w[more_weight]
-        full = np.isfinite(best).reshape(docs, m).all(1) & todo
-        out[full] = value.reshape(docs, m)[full] | U64(1)
+        cell, time, value = np.concatenate(cells), np.concatenate(times), np.concatenate(values)
+        best, got = np.full(docs * m, np.inf), np.zeros(docs * m, dtype=U64)
+        np.minimum.at(best, cell, time)
+        won = time == best[cell]
+        got[cell[won]] = value[won] | U64(1)
+        got = got.reshape(docs, m)
+        full = (got > 0).all(1) & todo
+        out[full] = got[full]
         todo &= ~full
         horizon = horizon * 2
     return out
@@ -263,10 +274,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without all but one document of each class (the one with the least doc_id)."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    doc, th = fresh(docs, "doc"), fresh(docs, "th")
     found = classes(docs, threshold).filter(F.col("doc").eqNullSafe(F.col("class")) | F.col("class").isNull()).select("doc", "th").distinct()
-    keyed = docs.withColumn("__doc", key_of("doc_id")).withColumn("__th", F.xxhash64(text))
-    kept = keyed.join(found.withColumnsRenamed({"doc": "__doc", "th": "__th"}), ["__doc", "__th"], "left_semi")
-    return kept.dropDuplicates(["__doc", "__th"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.withColumn(doc, key_of("doc_id")).withColumn(th, F.xxhash64(text))
+    kept = keyed.join(found.withColumnsRenamed({"doc": doc, "th": th}), [doc, th], "left_semi")
+    return kept.dropDuplicates([doc, th]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
