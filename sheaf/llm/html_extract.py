@@ -22,18 +22,21 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import table
 
+# a tag ends before the next < outside quotes, so no start of a tag is tried over the whole rest of a page
 _token = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?"
-    r"|<(script|style|noscript|template|iframe|svg|textarea|select|title|math|object|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?"
+    r"|<(script|style|noscript|template|iframe|svg|textarea|select|title|math|object|canvas)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
 _named = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -93,6 +96,7 @@ class Page:
         self.links: list[int] = [0]
         stack = [0]  # open nodes
         names = ["body"]
+        open_: Counter[str] = Counter()  # how many of each name are open
         in_link, in_head, hidden = 0, 0, 0
         order, done = 0, 0
         run = 0  # a new run of text begins whenever a block starts or ends
@@ -104,6 +108,10 @@ class Page:
                 if in_link:
                     self.links[stack[-1]] += len(text)
 
+        def cut(at):
+            open_.subtract(names[at:])
+            del names[at:], stack[at:]
+
         for m in _token.finditer(source):
             if m.start() > done:
                 take(source[done : m.start()])
@@ -117,12 +125,11 @@ class Page:
                     in_link = 0
                 elif name == "head":
                     in_head = 0
-                elif name in BLOCKS and name in names[1:]:
-                    while names[-1] != name:
-                        names.pop()
-                        stack.pop()
-                    names.pop()
-                    stack.pop()
+                elif name in BLOCKS and open_[name] > 0:
+                    at = len(names) - 1
+                    while names[at] != name:
+                        at -= 1
+                    cut(at)
                     run += 1
                     if hidden and len(stack) < hidden:
                         hidden = 0
@@ -143,17 +150,19 @@ class Page:
             if name not in BLOCKS or name in ("html", "body"):
                 continue
             in_head = 0
-            if name in ENDS_P and "p" in names:
-                at = len(names) - 1 - names[::-1].index("p")
-                if not {"td", "th", "table"} & set(names[at:]):
-                    del names[at:], stack[at:]
-            if name in CLOSES:
+            if name in ENDS_P and open_["p"] > 0:
+                at = len(names) - 1
+                while names[at] not in ("p", "td", "th", "table"):
+                    at -= 1
+                if names[at] == "p":
+                    cut(at)
+            if name in CLOSES and any(open_[x] > 0 for x in CLOSES[name][0]):
                 ends, stops = CLOSES[name]
                 for at in range(len(names) - 1, 0, -1):
                     if names[at] in stops:
                         break
                     if names[at] in ends:
-                        del names[at:], stack[at:]
+                        cut(at)
             if hidden and len(stack) < hidden:
                 hidden = 0
             run += 1
@@ -182,6 +191,7 @@ class Page:
             if not m.group(0).endswith("/>"):
                 stack.append(len(self.parent) - 1)
                 names.append(name)
+                open_[name] += 1
         if done < len(source):
             take(source[done:])
 
@@ -202,6 +212,12 @@ class Page:
 N_FEATURES = len(TAGS) + len(HINTS) + 12
 
 
+def levels(depth: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth, in order."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max()) + 1))) if len(depth) else []
+
+
 def features(pages: list[Page], blocks: list[list[tuple[int, str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(features, parent, depth, kind) over the nodes of all pages, parents before children."""
     first = np.cumsum([0] + [len(p.parent) for p in pages])
@@ -226,8 +242,7 @@ def features(pages: list[Page], blocks: list[list[tuple[int, str]]]) -> tuple[np
         if parent[k] >= 0:
             depth[k] = depth[parent[k]] + 1
     sub, sub_links, sub_marks = own.copy(), np.minimum(links, own), marks.copy()
-    for d in range(int(depth.max()) if n else 0, 0, -1):
-        at = np.flatnonzero(depth == d)
+    for at in levels(depth)[:0:-1]:
         for a in (sub, sub_links, sub_marks):
             np.add.at(a, parent[at], a[at])
     root = np.repeat(first[:-1], np.diff(first))
@@ -256,8 +271,8 @@ def marginals(unary: np.ndarray, pair: np.ndarray, parent: np.ndarray, depth: np
     node[:, 1] = unary
     up = node.copy()  # own score and all messages from below
     send = np.zeros((n, 2))
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)] if n else []
-    for at in levels[:0:-1]:
+    by_depth = levels(depth)
+    for at in by_depth[:0:-1]:
         s = up[at][:, None, :] + pair[kind[at]]  # parent label, child label
         top = s.max(2)
         send[at] = top + np.log(np.exp(s - top[:, :, None]).sum(2))
@@ -265,7 +280,7 @@ def marginals(unary: np.ndarray, pair: np.ndarray, parent: np.ndarray, depth: np
     total = 0.0
     down = np.zeros((n, 2))
     edge = np.zeros((n, 2, 2))
-    for d, at in enumerate(levels):
+    for d, at in enumerate(by_depth):
         if d == 0:
             top = up[at].max(1)
             total = float((top + np.log(np.exp(up[at] - top[:, None]).sum(1))).sum())
@@ -402,8 +417,7 @@ def trained(pages: int = 500, rounds: int = 220, seed: int = 11) -> Tree:
     own = np.array([1.0] * len(x)) * (y >= 0)
     good = np.where(y == 1, own, 0.0)
     size, share = own.copy(), good.copy()
-    for d in range(int(depth.max()), 0, -1):
-        at = np.flatnonzero(depth == d)
+    for at in levels(depth)[:0:-1]:
         np.add.at(size, parent[at], size[at])
         np.add.at(share, parent[at], share[at])
     y = np.where(y >= 0, y, (share > 0.5 * np.maximum(size, 1)).astype(int))
@@ -426,20 +440,20 @@ def trained(pages: int = 500, rounds: int = 220, seed: int = 11) -> Tree:
 
 
 def extract(pages: DataFrame, model: Tree | None = None) -> DataFrame:
-    """pages (any columns, html) -> the same without html, with text and n_chars."""
+    """pages (any columns, html) -> the same without html, with text and n_chars; columns of these names give way to them."""
     model = model or trained()
 
+    made = [StructField("text", StringType()), StructField("n_chars", LongType())]
+    kept = [f for f in pages.schema.fields if f.name not in ("html", "text", "n_chars")]
+
     def of(batches):
-        for pdf in batches:
-            out = []
-            for s in range(0, len(pdf), 64):
-                out += model.texts([h if isinstance(h, str) else "" for h in pdf["html"].iloc[s : s + 64]])
-            yield pdf.drop(columns=["html"]).assign(__text=out, __n=[len(t) for t in out])
+        for batch in batches:
+            html_, out = batch.column(len(kept)), []
+            for s in range(0, len(batch), 64):
+                out += model.texts([h or "" for h in html_.slice(s, 64).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=[f.name for f in [*kept, *made]])
 
-    kept = [f for f in pages.schema.fields if f.name not in ("html", "text", "n_chars")]
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    got = pages.select(*[F.col(f"`{f.name}`") for f in kept], "html").mapInPandas(of, fields + "__text string, __n long")
-    return got.withColumnsRenamed({"__text": "text", "__n": "n_chars"})
+    return pages.select(*[F.col(f"`{f.name}`") for f in kept], F.col("html").cast("string")).mapInArrow(of, StructType([*kept, *made]))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
