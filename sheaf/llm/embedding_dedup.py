@@ -7,16 +7,18 @@ vectors are one vector with a count, so a group of copies costs one row.
 How many passes a vector takes part in isn't fixed. Where the rows that share the first k bits of a vector's key all lie
 in its window, a link at the threshold was compared with a chance of at least (1 - angle / pi) ** k, whatever the data.
 The chances of its passes are multiplied up until that of having missed such a link is below `MISS`; then the vector
-leaves. A window that ends at the edge of a range partition counts for nothing. When comparing all that are left with
-one another costs less than the passes still needed, as in small tables and in dense ranges, they are compared in
-blocks, all with all.
+leaves. A window that ends at the edge of a range partition counts for nothing. Passes come in rounds; when, after a
+round, comparing all vectors that are left with one another costs less than the passes they still need, as in dense
+ranges, they are compared in blocks, all with all.
 
 Once it is known which vectors hang together, the vectors of each component are compared in blocks, all with all inside
 the component, and only counts leave a block. A component larger than a block is dealt out as pairs of blocks.
 
 Defined results: vectors that are null, empty, of zero length, or hold null or non-finite values link with nothing and
 are components of their own; vectors of different dimension link with nothing; equal rows (same vec_id) count as vectors
-of their own and share a component; an empty table gives an empty result; other columns are ignored.
+of their own and share a component, and rows of one vec_id with different vectors are vectors like any others; a sound
+vector with a null vec_id links like any other, and component_id is null only where no vec_id is reached; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ MISS = 1e-4
 
 
 def unit(rows) -> np.ndarray:
-    x = np.array([np.asarray(r, dtype=np.float64) for r in rows])
+    x = np.concatenate(list(rows)).astype(np.float64).reshape(len(rows), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -162,8 +164,7 @@ def _links(vectors: DataFrame, n: int, threshold: float, passes: int, bits: int,
     links = vectors.sparkSession.createDataFrame([], "a long, b long")
     enough, done = float(np.log(MISS)), 0
     need = enough / _log_miss(_agree(threshold), max(0.0, np.log2(max(n, 1) / window)) + 1.5)
-    # a pass compares a row with about three windows of rows
-    while need * 3 * window < n:
+    while n > 1:
         run = int(np.ceil(min(passes, need)))
         keyed = left.select("id", "embedding").mapInPandas(_keys(run, bits, done), "dim int, pass int, key long, id long, embedding " + kind)
         ordered = keyed.repartitionByRange(parts, "pass", "dim", "key", "id").sortWithinPartitions("pass", "dim", "key", "id")
@@ -174,6 +175,9 @@ def _links(vectors: DataFrame, n: int, threshold: float, passes: int, bits: int,
         done += run
         n, mean = left.agg(F.count(F.lit(1)), F.avg("miss")).first()
         need = (enough - mean) * done / mean if n and mean < 0 else np.inf
+        # a pass compares a row with about three windows of rows
+        if need * 3 * window >= n:
+            break
     if n < 2:
         return links
     chunks = max(-(-n // (8 * block)), min(8, -(-n // block)))
@@ -216,25 +220,31 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, passes: in
     sound = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(e, lambda v: v != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.coalesce(sound, F.lit(False)).alias("sound"))
     good = rows.filter("sound").select("vec_id", "embedding")
-    # equal vectors are one: its least vec_id stands for it
-    distinct = materialise(good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    member = good.join(distinct.withColumnRenamed("embedding", "same"), F.col("embedding") == F.col("same")).select("vec_id", "id", "copies")
-    found = _links(distinct.select("id", "embedding"), distinct.count(), threshold, passes, bits, window, block)
+    # equal vectors are one, under a number of its own: vec_id may be null or stand for several vectors
+    distinct = good.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    distinct = materialise(distinct.withColumn("id", F.monotonically_increasing_id()))
+    member = good.join(distinct.withColumnRenamed("embedding", "same"), F.col("embedding") == F.col("same")).select("vec_id", "id", "least", "copies")
+    n = distinct.count()
+    found = _links(distinct.select("id", "embedding"), n, threshold, passes, bits, window, block)
     roots = materialise(components(found))
-    sizes = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
+    # small components share tasks, as many as the vectors need
+    tasks = max(1, -(-n // block))
+    sizes = roots.join(distinct.select(F.col("id").alias("node"), "least"), "node").groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"), F.min("least").alias("name"))
+    sizes = materialise(sizes)
     inside = (
         distinct.join(roots, F.col("id") == F.col("node")).join(sizes, "root")
         .withColumn("dim", F.size("embedding")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
-        # small components share a task, a large one has a task for each pair of its chunks
-        .withColumn("task", F.when(F.col("chunks") > 1, F.xxhash64("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(4096))))
+        # a large component has a task for each pair of its chunks
+        .withColumn("task", F.when(F.col("chunks") > 1, F.xxhash64("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(tasks))))
     )
     counts = inside.select("task", "lo", "hi", "root", "dim", "chunk", "id", "embedding", "copies").groupBy("task", "lo", "hi").applyInPandas(_count_links(threshold), "id long, links long")
     counts = counts.groupBy("id").agg(F.sum("links").alias("links"))
+    named = roots.join(sizes.select("root", "name"), "root").select(F.col("node").alias("id"), "name", F.lit(True).alias("linked"))
     linked = (
-        member.join(counts, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-        .select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+        member.join(counts, "id", "left").join(named, "id", "left")
+        .select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("linked"), F.col("name")).otherwise(F.col("least")).alias("component_id"))
     )
     alone = rows.filter("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -99,6 +99,16 @@ def test_html_on_composed_pages_and_edge_cases(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
 
 
+def test_html_stays_linear_on_odd_markup():
+    import time
+
+    model = html_extract.trained()
+    for source in ("<a " * 350_000, "<![CDATA[" * 100_000, "<script " * 100_000, "<div>" * 20_000 + "x", "<a \"'" * 100_000, "<div><li>" * 20_000):
+        began = time.time()
+        model.texts([source])
+        assert time.time() - began < 10
+
+
 # ---- 4
 @pytest.mark.parametrize("window,block", [(256, 2048), (16, 8)])
 def test_embedding_links_against_all_pairs(spark, window, block):
@@ -141,6 +151,16 @@ def test_embedding_pairs_are_found_in_large_and_dense_tables(spark, shared):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (near[i].sum(), top[i]) for i in range(n)}
 
 
+def test_embeddings_with_null_and_repeated_ids(spark):
+    a, b, c = [1.0, 0.0, 0.1], [1.0, 0.05, 0.1], [0.0, 1.0, 0.0]
+    rows = [(2**60 + 1, a), (2**60 + 3, b), (None, [1.0, 0.02, 0.1]), (None, None), (2**60 + 5, c), (2**60 + 5, a), (None, [0.0, 0.0, 1.0])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted([(r.vec_id, r.n_links, r.component_id, r.kept) for r in got], key=key) == sorted(
+        [(2**60 + 1, 3, 2**60 + 1, True), (2**60 + 3, 3, 2**60 + 1, False), (None, 3, 2**60 + 1, False), (None, 0, None, True), (2**60 + 5, 0, 2**60 + 5, True), (2**60 + 5, 3, 2**60 + 1, False), (None, 0, None, True)], key=key
+    )
+
+
 # ---- 5
 def test_chat_links_quotes_and_orders_replies(spark):
     rows = [
@@ -172,6 +192,13 @@ def test_search_recall_and_edge_cases(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got if r.query_id >= 2000] == [(2060, 1, 2061, 5.0)]
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert ann.search(empty, empty).count() == 0
+    big = 2**60
+    rows = [(big, [1.0, 0.0]), (big, [1.0, 0.0]), (big, [0.0, 5.0]), (big + 1, [2.0, 3.0]), (None, [9.0, 9.0]), (big + 3, [2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.filter(f"vec_id = {big}"))
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got.collect()) == sorted(
+        [(big, 1, big + 1, 2.0), (big, 2, big + 3, 2.0), (big, 3, big, 0.0), (big, 1, big + 1, 15.0), (big, 2, big + 3, 15.0), (big, 3, big, 0.0)]
+    )
 
 
 # ---- 7
@@ -292,6 +319,21 @@ def test_packing_has_no_conflict_and_loses_no_word(spark):
     assert packing.pack(spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_null_ids_leave_large_ids_alone(spark):
+    big = [2**60 + 1, 2**60 + 3, None]
+    docs = spark.createDataFrame([(i, "some words here", "de", f"s{n}", "x", 7, 8.5, 9, "c") for n, i in enumerate(big)], "doc_id long, text string, lang string, source string, th string, doc int, score double, size int, target string")
+    ids = lambda df, c="doc_id": sorted((r[c] for r in df.collect()), key=lambda x: (x is None, x))
+    assert ids(packing.pack(docs)) == big
+    assert ids(language.identify(docs, None)) == big
+    assert ids(language.identify(docs, language.train(docs))) == big
+    assert ids(html_extract.extract(docs.withColumnsRenamed({"text": "html"}))) == big
+    kept = minhash_dedup.deduplicate(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2**60 + 1, "some words here", "de", "s0", "x", 7, 8.5, 9, "c")]
+    mixed = mixing.mix(docs)
+    assert ids(mixed) == big and {r.size for r in mixed.collect()} == {3}
+    assert {tuple(r)[4:] for r in mixing.repeated(docs).collect()} == {("x", 7, 8.5, 9, "c")}
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     assert packing.best_fit([6, 5, 4, 3], [0, 1, 0, 2], [-1] * 4, 10) == [0, 1, 1, 0]
     assert packing.best_fit([5, 5, 5], [0, 1, 2], [0, 0, -1], 10) == [0, 1, 0]
