@@ -10,8 +10,10 @@ precision, and the best `k` of each block meet in one top-k a query, which Spark
 
 Queries are a stated set: they are packed in chunks, and each chunk visits each block. Defined results: vectors that are
 null, empty, zero, or hold null or non-finite values take no part; vectors of another dimension than the most frequent
-one are searched exactly among themselves; fewer than k candidates give fewer rows; ties go to the smaller vec_id; equal
-rows (same vec_id) are one query and its candidates exclude that vec_id; an empty table gives an empty result.
+one are searched exactly among themselves; fewer than k candidates give fewer rows; ties go to the smaller vec_id; rows
+equal in vec_id and vector are one; rows of one vec_id with different vectors are queries of their own, whose results
+stand side by side under that query_id, and candidates of one another; rows without vec_id take no part; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -106,27 +108,27 @@ def _search(books: np.ndarray | None, dim: int, k: int, rerank: int):
     """Chunks of queries against blocks of rows. The blocks of a task come one after another for each chunk, so a query
     leaves the task with its k best of all of them."""
 
-    def top(q, ids, score):
-        order = np.lexsort((ids, -score, q))
-        q, ids, score = q[order], ids[order], score[order]
+    def top(q, ids, rows, score):
+        order = np.lexsort((rows, ids, -score, q))
+        q, ids, rows, score = q[order], ids[order], rows[order], score[order]
         first = np.searchsorted(q, q, side="left")
         keep = np.arange(len(q)) - first < k
-        return q[keep], ids[keep], score[keep]
+        return q[keep], ids[keep], rows[keep], score[keep]
 
-    def out(q_ids, held):
-        q, ids, score = top(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        return pd.DataFrame({"query_id": q_ids[q], "vec_id": ids, "score": score})
+    def out(q_ids, q_rows, held):
+        q, ids, rows, score = top(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return pd.DataFrame({"query_id": q_ids[q], "query_row": q_rows[q], "vec_id": ids, "row": rows, "score": score})
 
     def of(batches):
-        chunk, q_ids, q, held = None, None, None, []
+        chunk, q_ids, q_rows, q, held = None, None, None, None, []
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                if row.q_ids != chunk:
+                if row.q_rows != chunk:
                     if held:
-                        yield out(q_ids, held)
-                    chunk, held = row.q_ids, []
-                    q_ids, q = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.q_vectors, np.float64).reshape(-1, dim)
-                x, ids = np.frombuffer(row.vectors, np.float64).reshape(-1, dim), np.frombuffer(row.ids, np.int64)
+                        yield out(q_ids, q_rows, held)
+                    chunk, held = row.q_rows, []
+                    q_ids, q_rows, q = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.q_rows, np.int64), np.frombuffer(row.q_vectors, np.float64).reshape(-1, dim)
+                x, ids, rows = np.frombuffer(row.vectors, np.float64).reshape(-1, dim), np.frombuffer(row.ids, np.int64), np.frombuffer(row.rows, np.int64)
                 take = min(len(x), rerank + 1)
                 if take < len(x):
                     rough = scan(q, np.frombuffer(row.codes, np.uint8).reshape(len(x), -1), books)
@@ -136,15 +138,15 @@ def _search(books: np.ndarray | None, dim: int, k: int, rerank: int):
                 found = []
                 for n in range(len(q)):
                     at = best[n]
-                    at = at[ids[at] != q_ids[n]]
+                    at = at[rows[at] != q_rows[n]]
                     score = (x[at] * q[n]).sum(1)
-                    order = np.lexsort((ids[at], -score))[:k]
-                    found.append((np.full(len(order), n), ids[at][order], score[order]))
+                    order = np.lexsort((rows[at], ids[at], -score))[:k]
+                    found.append((np.full(len(order), n), ids[at][order], rows[at][order], score[order]))
                 held.append(tuple(np.concatenate(y) for y in zip(*found, strict=True)))
                 if len(held) > 8:
                     held = [top(*(np.concatenate(y) for y in zip(*held, strict=True)))]
         if held:
-            yield out(q_ids, held)
+            yield out(q_ids, q_rows, held)
 
     return of
 
@@ -153,27 +155,28 @@ def _pack_rows(books: np.ndarray | None, size: int, eta: float):
     """Rows to blocks of at most `size`, with codes where a codebook is given."""
 
     def of(batches):
-        held_id, held = [], []
+        held_id, held_row, held = [], [], []
 
         def out():
             x = np.array(held, dtype=np.float64)
             codes = encode(x, books, eta).tobytes() if books is not None else b""
-            return pd.DataFrame({"ids": [np.array(held_id, np.int64).tobytes()], "vectors": [x.tobytes()], "codes": [codes]})
+            return pd.DataFrame({"ids": [np.array(held_id, np.int64).tobytes()], "rows": [np.array(held_row, np.int64).tobytes()], "vectors": [x.tobytes()], "codes": [codes]})
 
         for pdf in batches:
-            for i, v in zip(pdf["vec_id"], pdf["v"], strict=True):
+            for i, r, v in zip(pdf["vec_id"], pdf["row"], pdf["v"], strict=True):
                 held_id.append(i)
+                held_row.append(r)
                 held.append(v)
                 if len(held) == size:
                     yield out()
-                    held_id, held = [], []
+                    held_id, held_row, held = [], [], []
         if held:
             yield out()
 
     return of
 
 
-_BLOCK = "ids binary, vectors binary, codes binary"
+_BLOCK = "ids binary, rows binary, vectors binary, codes binary"
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SAMPLE, eta: float = ETA, sub: int = SUB, block: int = BLOCK, chunk: int = CHUNK, rerank: int = RERANK) -> DataFrame:
@@ -182,9 +185,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SAM
 
     def sound(df: DataFrame) -> DataFrame:
         ok = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists(v, lambda e: e != 0)
-        return df.filter(F.coalesce(ok, F.lit(False)) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).dropDuplicates(["vec_id"])
+        return df.filter(F.coalesce(ok, F.lit(False)) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).distinct()
 
-    rows, asked = sound(vectors), sound(queries)
+    # a row is known by a hash of its vec_id and vector, in either table; -0.0 is 0.0
+    named = lambda df: df.withColumn("row", F.xxhash64("vec_id", F.transform("v", lambda e: e + F.lit(0.0))))
+    rows, asked = named(sound(vectors)), named(sound(queries))
     dims = sorted((r["count"], r["d"]) for r in rows.groupBy(F.size("v").alias("d")).count().collect())
     found = None
     for n, dim in reversed(dims):
@@ -199,13 +204,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SAM
         number = vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")
         # blocks are as full as the input's partitions allow; each lies in one task, each chunk of queries visits each task
         blocks = materialise(blocks.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(int(number)))))
-        chunks = asked.filter(F.size("v") == dim).mapInPandas(_pack_rows(None, chunk, eta), _BLOCK).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(number) - 1).cast("long"))).alias("part"))
+        chunks = asked.filter(F.size("v") == dim).mapInPandas(_pack_rows(None, chunk, eta), _BLOCK).select(F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(number) - 1).cast("long"))).alias("part"))
         # the chunks are the streamed side of the merge join: each meets all blocks of its task before the next does
-        met = chunks.join(blocks.hint("shuffle_merge"), "part").select("ids", "vectors", "codes", "q_ids", "q_vectors").mapInPandas(_search(books, dim, k, rerank), "query_id long, vec_id long, score double")
+        met = chunks.join(blocks.hint("shuffle_merge"), "part").select("ids", "rows", "vectors", "codes", "q_ids", "q_rows", "q_vectors").mapInPandas(_search(books, dim, k, rerank), "query_id long, query_row long, vec_id long, row long, score double")
         found = met if found is None else found.union(met)
     if found is None:
-        found = rows.select(F.lit(0).cast("long").alias("query_id"), "vec_id", F.lit(0.0).alias("score")).filter("false")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = rows.select(F.lit(0).cast("long").alias("query_id"), F.lit(0).cast("long").alias("query_row"), "vec_id", "row", F.lit(0.0).alias("score")).filter("false")
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
