@@ -18,6 +18,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,10 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
 
 
 def _pack_shard(capacity: int):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(rows: pa.Table) -> pa.Table:
+        # integers that may be null stay integers
+        pdf = rows.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get)
+        pdf = pdf.astype({"size": "int64", "cluster": "int64", "shard": "int64"})
         pdf = pdf.sort_values(["size", "doc_id", "cluster"], ascending=[False, True, True], kind="stable", ignore_index=True)
         rest = pdf["size"] % capacity
         full = pdf["size"] // capacity
@@ -76,7 +80,8 @@ def _pack_shard(capacity: int):
         out = pd.concat([x for x in (rest_row, whole, none) if len(x)], ignore_index=True)
         out["start_word"] = out["piece"] * capacity
         out["bin"] = out["bin"].astype("Int64")
-        return out[["doc_id", "source", "shard", "bin", "piece", "start_word", "n_words"]]
+        out = out[["doc_id", "source", "shard", "bin", "piece", "start_word", "n_words"]]
+        return pa.Table.from_pandas(out, pa.schema([("doc_id", rows.schema.field("doc_id").type), ("source", pa.string()), *((c, pa.int64()) for c in out.columns[2:])]), preserve_index=False)
 
     return pack
 
@@ -89,7 +94,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, cluster:
     shards = max(1, -(-docs.count() // shard))
     slim = slim.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, shard long, bin long, piece long, start_word long, n_words long"
-    return slim.groupBy("shard").applyInPandas(_pack_shard(capacity), schema)
+    return slim.groupBy("shard").applyInArrow(_pack_shard(capacity), schema)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
