@@ -11,7 +11,7 @@ buckets, and reruns agree.
 
 Defined results: null text has size 0; null source is a source, ordered last; a source of size 0 gets target 0; rows that
 are equal in every column are drawn independently of which is which; an empty table gives an empty result; all other
-columns are kept, and the working columns have names that begin with two underscores.
+columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -28,6 +28,7 @@ MAX_EPOCHS = 2
 #: Documents in a bucket, on average. A bucket is the unit that one window sorts.
 BUCKET = 2048
 SEED = "mix-1"
+RESULT = ("size", "source_size", "target", "taken", "__whole", "__extra")
 
 
 def words_of(text: Column) -> Column:
@@ -54,32 +55,37 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """docs with size, source_size, target, taken, and __whole, __extra: whole repetitions and words of one more."""
+    """docs with size, source_size, target, taken, and __whole, __extra: whole repetitions and words of one more. Columns of
+    docs that have these names give way to them."""
+    docs = docs.drop(*RESULT)
     order = F.md5(F.concat(F.lit(seed + "/"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = docs.withColumn("size", words_of(F.col("text")))
     slim = sized.select(F.col("source").alias("source"), "size")
     by_source = targets(slim.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size")), weights, share, max_epochs)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    info = by_source.select(F.col("source").alias("__s"), F.col("n").alias("__n"), "source_size", "target", F.floor(ratio).alias("__whole"), (ratio - F.floor(ratio)).alias("__part"))
-    bucket = F.pmod(F.conv(F.substring("__order", 1, 7), 16, 10).cast("long"), F.expr("1 + __n div " + str(BUCKET)))
-    dealt = sized.withColumn("__order", order).join(info, F.col("source").eqNullSafe(F.col("__s"))).withColumn("__bucket", bucket)
-    group = Window.partitionBy("source", "__bucket")
-    before = group.orderBy("__order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    s, n, part, place, bucket, goal = (fresh(docs, "__" + c) for c in ("s", "n", "part", "order", "bucket", "goal"))
+    info = by_source.select(F.col("source").alias(s), F.col("n").alias(n), "source_size", "target", F.floor(ratio).alias("__whole"), (ratio - F.floor(ratio)).alias(part))
+    deal = F.pmod(F.conv(F.substring(place, 1, 7), 16, 10).cast("long"), F.expr(f"1 + `{n}` div {BUCKET}"))
+    dealt = sized.withColumn(place, order).join(info, F.col("source").eqNullSafe(F.col(s))).withColumn(bucket, deal)
+    group = Window.partitionBy("source", bucket)
+    before = group.orderBy(place, "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        dealt.withColumn("__goal", F.floor(F.sum("size").over(group) * F.col("__part") + F.lit(0.5)))
-        .withColumn("__extra", F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("__goal") - F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")))))
+        dealt.withColumn(goal, F.floor(F.sum("size").over(group) * F.col(part) + F.lit(0.5)))
+        .withColumn("__extra", F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col(goal) - F.coalesce(F.sum("size").over(before), F.lit(0).cast("long")))))
         .withColumn("taken", F.col("__whole") * F.col("size") + F.col("__extra"))
-        .drop("__s", "__n", "__part", "__order", "__bucket", "__goal")
+        .drop(s, n, part, place, bucket, goal)
     )
 
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus itself: docs, each row as often as it is taken; the last may hold its leading words only."""
+    names = {c: fresh(docs, "own_" + c) for c in RESULT if c in docs.columns}
+    full = fresh(docs, "__full")
     whole = F.col("__extra") == F.col("size")
     copies = F.transform(F.sequence(F.lit(1).cast("long"), F.col("__whole") + F.when(F.col("__extra") > 0, 1).otherwise(0)), lambda i: i <= F.col("__whole"))
     lead = F.array_join(F.slice(F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda x: x != ""), 1, F.greatest(F.lit(1), F.col("__extra").cast("int"))), " ")
-    out = mix(docs, **how).filter("taken > 0").withColumn("__full", F.explode(copies))
-    kept = [F.when(F.col("__full") | whole, F.col("text")).otherwise(lead).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    out = mix(docs.withColumnsRenamed(names), **how).filter("taken > 0").withColumn(full, F.explode(copies))
+    kept = [F.when(F.col(full) | whole, F.col("text")).otherwise(lead).alias("text") if c == "text" else F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns]
     return out.select(*kept)
 
 
