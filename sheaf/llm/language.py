@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import table
 
@@ -85,12 +87,12 @@ def fit(x: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: flo
     return Model(languages, (marks.T.astype(np.float64) @ (root @ coef)).astype(np.float32))
 
 
-def _predict(model: Model | None):
+def _predict(model: Model | None, names: list[str]):
     def of(batches):
-        for pdf in batches:
+        for batch in batches:
             lang, score = [], []
-            for s in range(0, len(pdf), 128):
-                texts = [tokens(t) for t in pdf["text"].iloc[s : s + 128]]
+            for s in range(0, len(batch), 128):
+                texts = [tokens(t) for t in batch.column(batch.num_columns - 1).slice(s, 128).to_pylist()]
                 if model is None:
                     lang += ["und"] * len(texts)
                     score += [0.0] * len(texts)
@@ -101,7 +103,7 @@ def _predict(model: Model | None):
                 for n, t in enumerate(texts):
                     lang.append(model.languages[best[n]] if t else "und")
                     score.append(float(p[n]) if t else 0.0)
-            yield pdf.drop(columns=["text"]).assign(lang_pred=lang, score=score)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=names)
 
     return of
 
@@ -124,9 +126,11 @@ def train(labelled: DataFrame, texts: int = TRAIN_TEXTS) -> Model | None:
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs without text, with lang_pred and score."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return docs.select(*[c for c in docs.columns if c != "text"], "text").mapInPandas(_predict(model), fields + ", lang_pred string, score double")
+    """docs without text, with lang_pred and score; columns of these names give way to them."""
+    kept = [f for f in docs.schema.fields if f.name not in ("text", "lang_pred", "score")]
+    made = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    rows = docs.select(*[F.col(f"`{f.name}`") for f in kept], "text")
+    return rows.mapInArrow(_predict(model, [f.name for f in [*kept, *made]]), StructType([*kept, *made]))
 
 
 def fold(doc_id: Column, folds: int) -> Column:
