@@ -99,12 +99,12 @@ def _cut_contexts(length: int):
             w = want.flatten()
             h, block, lo, n, a, hot = (w.field(x).to_numpy(zero_copy_only=False) for x in ("h", "block", "lo", "n", "a", "hot"))
             begin = at[rows] + lo
-            blob = data.tobytes()
-            for s in range(0, len(rows), 4000):
-                e = min(s + 4000, len(rows))
+            blob = memoryview(data)
+            for s in range(0, len(rows), 1000):
+                e = min(s + 1000, len(rows))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows[s:e])), batch.column(1).take(pa.array(rows[s:e])), pa.array(h[s:e]), pa.array(block[s:e]), pa.array(lo[s:e]), pa.array(n[s:e]), pa.array(a[s:e]), pa.array(hot[s:e]),
-                     pa.array([blob[x : x + y + length - 1] for x, y in zip(begin[s:e].tolist(), n[s:e].tolist(), strict=True)], type=pa.binary())],
+                     pa.array([bytes(blob[x : x + y + length - 1]) for x, y in zip(begin[s:e].tolist(), n[s:e].tolist(), strict=True)], type=pa.binary())],
                     names=["doc", "th", "h", "block", "lo", "n", "a", "hot", "bytes"],
                 )
 
@@ -293,32 +293,33 @@ def dedup_text(docs: DataFrame, length: int = 400, block: int = BLOCK, digest: b
     schema = StructType([*(docs.schema[c] for c in kept), *(StructField(c, LongType()) for c in made[:3]), StructField(last, StringType())])
 
     def finish(batches):
+        k = len(kept)
         for batch in batches:
-            k = len(kept)
-            data, at = buffers(batch.column(k))
-            blob = data.tobytes()
-            spans_ = batch.column(k + 1)
-            offs = spans_.offsets.to_numpy()
-            null = spans_.is_null().to_numpy(zero_copy_only=False)
-            flat = spans_.values
-            begin, end = flat.field("start").to_numpy(zero_copy_only=False), flat.field("stop").to_numpy(zero_copy_only=False)
-            removed, number, result = [], [], []
-            for i in range(len(batch)):
-                text_ = blob[at[i] : at[i + 1]]
-                lo, hi = (begin[:0], end[:0]) if null[i] else merge_spans(begin[offs[i] : offs[i + 1]], end[offs[i] : offs[i + 1]])
-                pieces, done = [], 0
-                for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
-                    pieces.append(text_[done:x])
-                    done = y
-                pieces.append(text_[done:])
-                left = b"".join(pieces)
-                removed.append(len(text_) - len(left))
-                number.append(len(lo))
-                result.append(hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(x) for x in range(k)), pa.array(np.diff(at).astype(np.int64)), pa.array(removed, pa.int64()), pa.array(number, pa.int64()), pa.array(result, pa.string())],
-                names=[*kept, *made],
-            )
+            _, at = buffers(batch.column(k))
+            for i, j in slices(at):
+                yield cut(batch.slice(i, j - i), k)
+
+    def cut(batch, k):
+        data, at = buffers(batch.column(k))
+        blob, spans_ = memoryview(data), batch.column(k + 1)
+        offs = spans_.offsets.to_numpy()
+        null = spans_.is_null().to_numpy(zero_copy_only=False)
+        flat = spans_.values
+        begin, end = flat.field("start").to_numpy(zero_copy_only=False), flat.field("stop").to_numpy(zero_copy_only=False)
+        removed, number, result = [], [], []
+        for i in range(len(batch)):
+            text_ = blob[at[i] : at[i + 1]]
+            lo, hi = (begin[:0], end[:0]) if null[i] else merge_spans(begin[offs[i] : offs[i + 1]], end[offs[i] : offs[i + 1]])
+            pieces, done = [], 0
+            for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
+                pieces.append(text_[done:x])
+                done = y
+            pieces.append(text_[done:])
+            left = b"".join(pieces)
+            removed.append(len(text_) - len(left))
+            number.append(len(lo))
+            result.append(hashlib.sha256(left).hexdigest() if digest else left.decode("utf-8", "ignore"))
+        return pa.RecordBatch.from_arrays([*(batch.column(x) for x in range(k)), pa.array(np.diff(at).astype(np.int64)), pa.array(removed, pa.int64()), pa.array(number, pa.int64()), pa.array(result, pa.string())], names=[*kept, *made])
 
     return joined.mapInArrow(finish, schema)
 
