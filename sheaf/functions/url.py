@@ -45,12 +45,26 @@ def display_name(u: Column) -> Column:
     return F.split_part(F.regexp_replace(u, "^https?://", ""), F.lit("/"), F.lit(1))
 
 
+def _resolved(path: Column) -> Column:
+    """A path without . and .. segments; .. above the root is dropped."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(parts, none, lambda out, x: F.when(x == ".", out).when(x == "..", F.when(F.size(out) > 1, F.slice(out, 1, F.size(out) - 1)).otherwise(out)).otherwise(F.array_append(out, x)))
+    return F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
+
+
 def join(base: Column, href: Column) -> Column:
-    """Absolute, scheme-relative, rooted and plain relative references."""
-    scheme = F.regexp_extract(base, "^(https?:)", 1)
-    root = F.regexp_extract(base, "^(https?://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), "(?<=[^/])/[^/]*$", "")
+    """A reference made absolute: with a scheme, without one, rooted, relative, of a query or a fragment only, or empty."""
+    scheme = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
+    root = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(base, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    tail = F.regexp_extract(href, r"([?#].*)$", 1)
+    own = F.regexp_extract(href, "^([^?#]*)", 1)
     return (
-        F.when(F.rlike(href, F.lit("^[a-zA-Z][a-zA-Z0-9+.-]*:")), href).when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(folder, F.lit("/"), href))
+        F.when(href == "", base).when(F.rlike(href, F.lit("^[a-zA-Z][a-zA-Z0-9+.-]*:")), href).when(href.startswith("//"), F.concat(scheme, href))
+        .when(href.startswith("/"), F.concat(root, _resolved(own), tail)).when(href.startswith("?"), F.concat(root, path, href))
+        .when(href.startswith("#"), F.concat(root, path, query, href)).otherwise(F.concat(root, _resolved(F.concat(folder, own)), tail))
     )

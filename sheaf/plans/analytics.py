@@ -35,7 +35,9 @@ q("recent_activity", """SELECT 'classification' AS kind, content_id AS item, con
     UNION ALL SELECT 'entities', content_id, CAST(count(*) AS DOUBLE) FROM (SELECT * FROM mentions ORDER BY content_id DESC, start_char DESC, entity_id LIMIT 10) b GROUP BY content_id""")
 q("storage_stats", "SELECT 'node_type' AS metric, node_type AS k, count(*) AS n FROM nodes GROUP BY node_type UNION ALL SELECT 'domain', domain, count(*) FROM nodes GROUP BY domain UNION ALL SELECT 'edge_type', relationship_type, count(*) FROM edges GROUP BY relationship_type UNION ALL SELECT 'total', 'tags', count(*) FROM tags UNION ALL SELECT 'total', 'sources', count(*) FROM edge_sources")
 q("storage_stats_grouping_sets", "SELECT node_type, domain, count(*) AS n FROM nodes GROUP BY GROUPING SETS ((node_type), (domain), ())")
-q("domain_running_avg", "SELECT seq, domain, round(avg(quality_score) OVER (PARTITION BY domain ORDER BY fetched_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS running_avg, count(*) OVER (PARTITION BY domain ORDER BY fetched_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pages FROM crawl_log")
+q("domain_running_avg", """WITH s AS (SELECT seq, domain, sum(CAST(round(quality_score * 1e9) AS BIGINT)) OVER (PARTITION BY domain ORDER BY fetched_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS units,
+    count(*) OVER (PARTITION BY domain ORDER BY fetched_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pages FROM crawl_log)
+    SELECT seq, domain, CAST((2 * units + 1000 * pages - (2 * units + 1000 * pages) % (2000 * pages)) / (2000 * pages) AS DOUBLE) / 1e6 AS running_avg, pages FROM s""")
 q("running_domain_average", "SELECT domain, count(*) AS pages, round(avg(quality_score), 6) AS avg_quality FROM crawl_log GROUP BY domain")
 q("entity_counts", "SELECT m.content_id, k.type AS label, count(*) AS n FROM mentions m JOIN kb_entities k ON k.entity_id = m.entity_id GROUP BY m.content_id, k.type")
 q("entity_distribution_bins", "SELECT content_id, least(CAST(floor(start_char / 50e0) AS BIGINT), 9) AS bin, count(*) AS n FROM mentions GROUP BY content_id, least(CAST(floor(start_char / 50e0) AS BIGINT), 9)")

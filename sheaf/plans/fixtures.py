@@ -42,6 +42,10 @@ VIEWS = {
     "annotations": """SELECT conv_id, turn, text, CASE WHEN turn % 3 = 0 THEN 'accept' WHEN turn % 3 = 1 THEN 'reject' ELSE 'ignore' END AS answer, role AS label FROM conversations""",
     "classification": """SELECT l.doc_id AS content_id, l.quality = 1 AS is_relevant, CASE WHEN l.toxic = 1 THEN 'toxic' ELSE d.lang END AS primary_topic,
         0.5e0 + CAST(l.doc_id % 50 AS DOUBLE) / 100 AS confidence FROM labels l JOIN documents d ON d.doc_id = l.doc_id""",
+    "statements": """SELECT event_id AS claim_id, user_id AS entity_id, CASE WHEN event_id % 5 = 0 THEN 'opinion' ELSE 'factual' END AS claim_type, CAST(0 AS DOUBLE) AS sentiment,
+        CASE event_id % 4 WHEN 0 THEN 'The report says user ' || CAST(user_id AS STRING) || ' will win the ' || event_type WHEN 1 THEN 'The report says user ' || CAST(user_id AS STRING) || ' will lose the ' || event_type
+        WHEN 2 THEN 'user ' || CAST(user_id AS STRING) || ' likes a ' || event_type ELSE 'It is false that user ' || CAST(user_id AS STRING) || ' likes a ' || event_type END AS content,
+        0.5e0 + CAST(event_id % 50 AS DOUBLE) / 100 AS confidence FROM events""",
     "claim_edges": "SELECT event_id AS claim_id, user_id AS entity_id, 'mentions' AS relationship_type FROM events",
     "edge_sources": """SELECT o_orderkey AS source_row, 10000000 + o_orderkey AS node_id,
         'https://src' || CAST(o_orderkey % 7 AS STRING) || '.example.org' AS url, 0.3e0 + CAST(o_orderkey % 60 AS DOUBLE) / 100 AS confidence FROM orders""",

@@ -21,7 +21,7 @@ def duck():
 
 def canonical(df):
     def one(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+        if v is None or (np.isscalar(v) or v is pd.NA or v is pd.NaT) and pd.isna(v):
             return "NULL"
         return f"{float(v):.5f}" if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v)
 

@@ -1,3 +1,6 @@
+import urllib.parse
+
+import pytest
 from pyspark.sql import functions as F
 
 from sheaf.functions import score, text, url
@@ -26,7 +29,12 @@ def test_urls(spark):
     assert one(spark, "HTTP-less.example.com/a/?utm_source=x&b=1#f", url.credibility_key) == "https://http-less.example.com/a?b=1"
     assert one(spark, "https://www.Example.com:80/", url.domain) == "www.Example.com:80"
     assert one(spark, "ftp://x", url.is_valid) is False and one(spark, "nonsense", url.is_valid) is False
-    assert one(spark, "../x", lambda h: url.join(F.lit("https://a.b/c/d"), h)) == "https://a.b/c/../x"
+
+
+@pytest.mark.parametrize("base", ["https://a.b/c/d", "https://a.b/c/d/?q=1#f", "https://a.b", "https://a.b/"])
+@pytest.mark.parametrize("href", ["../x", "x", "./x?y=../z", "../../../x", "/p/./q/../r", "//c.d/e", "?z=1", "#g", "", "..", "x/y/..", "https://e.f/g", "mailto:x@y"])
+def test_joined_urls(spark, base, href):
+    assert one(spark, href, lambda h: url.join(F.lit(base), h)) == urllib.parse.urljoin(base, href)
 
 
 def test_scores(spark):
