@@ -9,37 +9,14 @@ from pyspark.sql import functions as F
 
 from sheaf.llm import ann, chat, embedding_dedup, html_extract, language, minhash_dedup, mixing, packing, toxicity
 from sheaf.llm.queries import SQL
+from tests_llm_brute import roots, shingle_counts, similarity
 
 
 def prose(r, n, letters="abcdefgh"):
     return " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(n))
 
 
-def roots(nodes, links):
-    up = {n: n for n in nodes}
-
-    def top(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for a, b in links:
-        x, y = top(a), top(b)
-        up[max(x, y)] = min(x, y)
-    return {n: top(n) for n in nodes}
-
-
 # ---- 1
-def shingle_counts(t):
-    w = t.lower().split()
-    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
-
-
-def similarity(a, b):
-    both = sum((a & b).values())
-    return both / (sum(a.values()) + sum(b.values()) - both)
-
-
 @pytest.mark.parametrize("block", [400, 3])
 def test_minhash_classes_against_all_pairs(spark, block):
     r = random.Random(4)
