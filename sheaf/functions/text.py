@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,7 +71,7 @@ def count_paragraphs(t: Column) -> Column:
     return F.size(F.filter(F.split(t, r"\n\n"), lambda x: F.trim(x) != "")).cast("long")
 
 
-#: A sentence ends after . ? or !, but not after an initial or a short title.
+#: Fixed value: a sentence ends after . ? or !, but not after an initial or a short title.
 SENTENCE_END = r"(?<!\w\.\w.)(?<![A-Z][a-z]\.)(?<=\.|\?|\!)\s"
 
 
@@ -81,10 +84,11 @@ def slugify(t: Column) -> Column:
 
 
 def document_title(t: Column) -> Column:
-    """First line of at most 150 characters, else the first sentence of that length, else 100 characters and dots."""
-    line = F.get(F.filter(F.split(t, r"\n"), lambda x: F.trim(x) != ""), 0)
-    sentence = F.get(F.split(t, r"\."), 0)
-    return F.when(F.length(F.trim(line)) <= 150, F.trim(line)).when(F.length(F.trim(sentence)) <= 150, F.trim(sentence)).otherwise(F.concat(F.substring(t, 1, 100), F.lit("...")))
+    """The first line that isn't blank if it has at most 150 characters; else the text before the first full stop, cut to
+    100 characters and dots where that is over 150 too."""
+    line = F.get(F.filter(F.transform(F.split(t, r"\n"), lambda x: F.trim(x)), lambda x: x != ""), 0)
+    head = F.trim(F.get(F.split(t, r"\."), 0))
+    return F.when(F.length(line) <= 150, line).when(F.length(head) <= 150, head).otherwise(F.concat(F.substring(head, 1, 100), F.lit("...")))
 
 
 #: Patterns of dates and times, each with its kind.
@@ -121,3 +125,16 @@ def chunk_chars_fixed(t: Column, size: int = 1000, overlap: int = 100) -> Column
     step = size - overlap
     last = F.greatest(F.lit(0), F.ceil((F.length(t) - F.lit(size)) / step) * step).cast("int")
     return F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: F.substring(t, i + 1, F.lit(size))))
+
+
+def replace_names(t: Column, names: Mapping[str, str]) -> Column:
+    """Whole words that are a key give way to its value, in one pass: what a value holds isn't replaced again. Where several
+    keys begin at one place, the first of the mapping counts."""
+    if not names:
+        return t
+    either = "|".join(re.escape(k) for k in names)
+    known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    found = F.regexp_extract_all(t, F.lit(rf"\b({either})\b"), F.lit(1))
+    # the pieces between the names, and each name's value after its piece
+    between = F.split(t, rf"\b(?:{either})\b", -1)
+    return F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(F.element_at(known, b), F.lit("")))), "")

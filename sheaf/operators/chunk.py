@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -84,3 +85,38 @@ def exploded(docs: DataFrame, text: str, size: int = 500, overlap: int = 50) ->
     """One row per chunk with chunk_index and chunk_total; documents without text give none."""
     parts = docs.withColumn("_chunks", chunk_words(size, overlap)(F.col(text))).withColumn("chunk_total", F.size("_chunks"))
     return parts.select("*", F.posexplode("_chunks").alias("chunk_index", "chunk")).drop("_chunks")
+
+
+_byte_end = re.compile(rb"[.!?]\s+")
+
+
+def pack_bytes(text: str | None, size: int = 500, overlap: int = 50) -> list[str]:
+    """Pieces that end with the last sentence within ten bytes a word of `size` words, and reach `overlap` bytes back into
+    the piece before; a longer sentence is cut there. No character is cut. A text of at most `size` words is one piece."""
+    raw = (text or "").encode()
+    if len((text or "").split()) <= size:
+        return [text] if text else []
+    ends = [m.end() for m in _byte_end.finditer(raw)] + [len(raw)]
+
+    def whole(at):
+        while at < len(raw) and raw[at] & 0xC0 == 0x80:
+            at += 1
+        return at
+
+    out, at = [], 0
+    while at < len(raw):
+        k = bisect_right(ends, at + 10 * size)
+        stop = ends[k - 1] if k and ends[k - 1] > at else whole(min(at + 10 * size, len(raw)))
+        piece = raw[at:stop].decode().strip()
+        if piece:
+            out.append(piece)
+        if stop >= len(raw):
+            break
+        at = whole(max(stop - overlap, at + 1)) if stop - overlap > at else stop
+    return out
+
+
+def by_bytes(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
+    """(doc_id, chunk, text) of docs (doc_id, text)."""
+    cut = F.pandas_udf(lambda s: s.map(lambda t: pack_bytes(t, size, overlap)), ArrayType(StringType()))
+    return docs.select("doc_id", F.posexplode(cut(F.col("text"))).alias("chunk", "text"))

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import document_title
+
 # Phrases, terms and labels of the recogniser.
 GENERAL = {
     "ORG": ("Google", "Microsoft", "Apple", "Facebook", "Amazon", "Netflix", "Tesla", "Twitter", "IBM", "Intel"),
@@ -176,14 +178,6 @@ def teams_with_players(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.inline(rows))
 
 
-def title(text: Column) -> Column:
-    """The first line that isn't blank if it has at most 150 characters; else the text before the first full stop, cut
-    to 100 characters and dots where that is over 150 too."""
-    line = F.try_element_at(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(1))
-    head = F.trim(F.split(text, r"\.")[0])
-    return F.when(F.length(line) <= 150, line).when(F.length(head) <= 150, head).otherwise(F.concat(F.substring(head, 1, 100), F.lit("...")))
-
-
 def match_report(df: DataFrame) -> DataFrame:
     """One row per text: texts of each kind of entity, results, the main result (first result, first two teams), title."""
     names = {"teams": "TEAM", "players": "PERSON", "venues": "VENUE", "competitions": "COMPETITION", "events": "EVENT", "positions": "POSITION"}
@@ -194,5 +188,5 @@ def match_report(df: DataFrame) -> DataFrame:
     side = lambda n: F.when(known, F.split(F.try_element_at("results", F.lit(1)), "[-:–]")[n].cast("int"))
     return out.select(
         "doc_id", *names, "results", F.when(known, F.try_element_at("teams", F.lit(1))).alias("home_team"), F.when(known, F.try_element_at("teams", F.lit(2))).alias("away_team"),
-        side(0).alias("home_score"), side(1).alias("away_score"), title(F.col("text")).alias("title"),
+        side(0).alias("home_score"), side(1).alias("away_score"), document_title(F.col("text")).alias("title"),
     )

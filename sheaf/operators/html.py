@@ -88,11 +88,12 @@ class _Reader(HTMLParser):
         for key in ("main", "article"):
             if key in names:
                 self.main[key].append(data)
+        # once, however many of the elements around are marked
+        if any(a.get("id") in MAIN_IDS for _, a in self.stack):
+            self.main["id"].append(data)
+        if any(MARKED.intersection(a.get("class", "").split()) for _, a in self.stack):
+            self.main["class"].append(data)
         for _, a in self.stack:
-            if a.get("id") in MAIN_IDS:
-                self.main["id"].append(data)
-            if set(a.get("class", "").split()) & set(MAIN_CLASSES):
-                self.main["class"].append(data)
             if self.author is None and ("author" in a.get("class", "").split() or a.get("rel") == "author") and data.strip():
                 self.author = data.strip()
         if self.link is not None:
@@ -102,6 +103,7 @@ class _Reader(HTMLParser):
                 x["context"].append(data)
 
 
+MARKED = frozenset(MAIN_CLASSES)
 _space = re.compile(r"\s+")
 
 

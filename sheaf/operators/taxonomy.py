@@ -85,6 +85,11 @@ def nested(topics: DataFrame) -> DataFrame:
     return below.select("topic_id", "tree")
 
 
+def save(topics: DataFrame, path: str) -> None:
+    """One tree a line."""
+    nested(topics).select("tree").write.mode("overwrite").text(path)
+
+
 def training_texts(topics: DataFrame) -> DataFrame:
     """(topic_id, text): name, keywords and path of each topic, to train on where no documents are labelled."""
     return walked(topics).select("topic_id", F.lower(F.concat_ws(" ", F.col("name"), F.array_join("keywords", " "), F.array_join("path", " "))).alias("text"))

@@ -6,6 +6,8 @@ raises ValueError."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, SQLTransformer, StopWordsRemover
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..lineage import written
 
 VOCABULARY = 10_000
 KINDS = {
@@ -67,3 +70,19 @@ def measures(predicted: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("is_relevant").cast("int")).cast("double")).alias("accuracy"),
         F.try_divide(2 * tp, 2 * tp + fp + fn).alias("f1"),
     )
+
+
+def tfidf_relevance(docs: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """(doc_id, score): cosine of each document (doc_id, text) with the terms, each once, by term frequency and smooth inverse
+    document frequency. Documents that hold none of the terms have no row. Texts are tokenised once."""
+    words = F.filter(F.split(F.lower("text"), r"(?U)[^\w]+"), lambda x: F.length(x) > 1)
+    tf = written(docs.select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")))
+    total = tf.select("doc_id").distinct().count()
+    idf = F.log((1.0 + total) / (1.0 + F.coalesce("d", F.lit(0)))) + 1
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("d"))
+    weighed = tf.join(df, "term").withColumn("idf", idf).withColumn("x", F.col("n") * F.col("idf"))
+    asked = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string"))
+    own = asked.join(df, "term", "left").agg(F.sqrt(F.sum(idf * idf)).alias("q")).first().q or 1.0
+    hit = F.col("term").isin(*terms)
+    by_doc = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"), F.sum(F.when(hit, F.col("x") * F.col("idf"))).alias("dot"))
+    return by_doc.filter("dot IS NOT NULL").select("doc_id", (F.col("dot") / F.col("len") / F.lit(float(own))).alias("score"))

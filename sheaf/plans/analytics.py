@@ -26,8 +26,9 @@ q("job_domain_top10", "SELECT split_part(split_part(url, '://', 2), '/', 1) AS d
 q("job_extended_depth_count", "SELECT j.job_id, count(*) AS n_extended FROM content c JOIN jobs j ON j.job_id = c.job_id WHERE c.crawl_depth > j.max_depth GROUP BY j.job_id")
 q("job_quality_avg", "SELECT domain, round(avg(quality_score), 6) AS avg_quality FROM crawl_log GROUP BY domain")
 q("job_high_quality_domains", "SELECT count(DISTINCT domain) AS n_domains FROM (SELECT domain, avg(quality_score) AS a FROM crawl_log GROUP BY domain) t WHERE a > 0.25e0")
-q("job_quality_histogram", """WITH bins AS (SELECT * FROM (VALUES ('0.0-0.3', 0e0, 0.3e0), ('0.3-0.5', 0.3e0, 0.5e0), ('0.5-0.7', 0.5e0, 0.7e0), ('0.7-0.9', 0.7e0, 0.9e0), ('0.9-1.0', 0.9e0, 1e0)) AS b(bin, lo, hi))
-    SELECT b.bin, count(c.seq) AS n FROM bins b LEFT JOIN crawl_log c ON c.quality_score >= b.lo AND c.quality_score < b.hi GROUP BY b.bin""")
+_BINS = "(VALUES ('0.0-0.3', 0), ('0.3-0.5', 1), ('0.5-0.7', 2), ('0.7-0.9', 3), ('0.9-1.0', 4)) AS b(bin, k)"
+q("job_quality_histogram", f"""WITH c AS (SELECT CASE WHEN quality_score < 0 THEN NULL WHEN quality_score < 0.3e0 THEN 0 WHEN quality_score < 0.5e0 THEN 1 WHEN quality_score < 0.7e0 THEN 2 WHEN quality_score < 0.9e0 THEN 3 WHEN quality_score < 1e0 THEN 4 END AS k, count(*) AS n
+    FROM crawl_log GROUP BY 1) SELECT b.bin, coalesce(c.n, 0) AS n FROM {_BINS} LEFT JOIN c ON c.k = b.k""")
 q("topic_distribution", "SELECT primary_topic, count(*) AS n FROM classification GROUP BY primary_topic ORDER BY n DESC, primary_topic LIMIT 10")
 q("entity_type_distribution", "SELECT k.type AS entity_type, count(*) AS n FROM mentions m JOIN kb_entities k ON k.entity_id = m.entity_id GROUP BY k.type")
 q("active_domains", "SELECT count(DISTINCT primary_topic) AS n FROM classification WHERE is_relevant")

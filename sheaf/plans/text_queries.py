@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import score, text, url
 from ..operators import chunk, html
-from .fixtures import sql_query, view
+from ..operators.topics import tfidf_relevance
+from .fixtures import expanded, view
 from .registry import query
 
 D_WORDS = r"list_filter(string_split_regex({t}, '\s+'), lambda x: x <> '')"
@@ -34,12 +35,15 @@ scalar("count_chars_nonspace", text.count_chars_nonspace, r"CAST(length(regexp_r
 scalar("count_paragraphs", text.count_paragraphs, "CAST(len(list_filter(string_split(text, chr(10) || chr(10)), lambda x: trim(x) <> '')) AS BIGINT)")
 scalar("count_words_unicode", text.count_words_unicode, r"CAST(len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+([.''’][\p{L}\p{M}\p{N}_]+)*')) AS BIGINT)")
 scalar("get_tokens", lambda t: F.size(text.tokens(t)).cast("long"), r"CAST(len(list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+'), lambda x: x <> '')) AS BIGINT)")
-scalar("slugify", lambda t: text.slugify(F.substring(t, 1, 80)), r"regexp_replace(lower(substr(text, 1, 80)), '[^\p{L}\p{M}\p{N}_]+', '_', 'g')")
+scalar("slugify", text.slugify, r"regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_]+', '_', 'g')")
 scalar("detect_language", lambda t: F.lit("en"), "'en'")
 scalar("detect_language_rust", lambda t: F.lit(None).cast("string"), "CAST(NULL AS VARCHAR)")
 scalar("get_sentences", lambda t: F.size(text.sentences(t)).cast("long"), None)
-scalar("document_title_guess", text.document_title, None)
-scalar("temporal_expressions", lambda t: F.to_json(text.temporal_expressions(t)), None)
+_LINE = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1]"
+_HEAD = "trim(split_part(text, '.', 1))"
+scalar("document_title_guess", text.document_title, f"CASE WHEN length({_LINE}) <= 150 THEN {_LINE} WHEN length({_HEAD}) <= 150 THEN {_HEAD} ELSE substr({_HEAD}, 1, 100) || '...' END")
+_TIMES = " || ".join(f"list_transform(regexp_extract_all(text, '(?i){p}'), lambda x: x || ':{k}')" for p, k in text.TEMPORAL)
+scalar("temporal_expressions", lambda t: F.array_join(F.transform(text.temporal_expressions(t), lambda x: F.concat(x["text"], F.lit(":"), x["kind"])), "|"), f"array_to_string({_TIMES}, '|')")
 scalar("chunk_chars_fixed", lambda t: F.size(text.chunk_chars_fixed(t, 1000, 100)).cast("long"), "CAST(CASE WHEN length(text) > 0 THEN greatest(0, ceil((length(text) - 1000) / 900.0)) + 1 ELSE -1 END AS BIGINT)")
 scalar("football_scores", lambda t: F.array_join(F.regexp_extract_all(t, F.lit(r"\b\d{1,2}[-:]\d{1,2}\b"), F.lit(0)), "|"), r"array_to_string(regexp_extract_all(text, '\b\d{1,2}[-:]\d{1,2}\b'), '|')")
 scalar("ner_formation", lambda t: F.array_join(F.regexp_extract_all(t, F.lit(r"\b[3-5][-–][2-5][-–][1-3]\b"), F.lit(0)), "|"), r"array_to_string(regexp_extract_all(text, '\b[3-5][-–][2-5][-–][1-3]\b'), '|')")
@@ -203,14 +207,19 @@ def context_window(spark, sf_dir):
 
 
 # ---- classification
-sql_query("tfidf_filter", """WITH tok AS (SELECT doc_id, explode(filter(split(lower(regexp_replace(text, '[^A-Za-z ]', ' ')), ' +'), x -> length(x) > 1)) AS term FROM documents WHERE lang = 'en'),
-    tf AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS n FROM tok GROUP BY doc_id, term), df AS (SELECT term, CAST(count(*) AS DOUBLE) AS d FROM tf GROUP BY term), t AS (SELECT CAST(count(DISTINCT doc_id) AS DOUBLE) AS total FROM tf),
-    w AS (SELECT tf.doc_id, tf.term, tf.n * (ln((1 + t.total) / (1 + df.d)) + 1) AS x FROM tf JOIN df ON df.term = tf.term CROSS JOIN t), norm AS (SELECT doc_id, sqrt(sum(x * x)) AS len FROM w GROUP BY doc_id),
-    q AS (SELECT term, x FROM w WHERE term IN ('the', 'and', 'with', 'that', 'from', 'have')) SELECT w.doc_id, round(sum(w.x) / max(norm.len), 6) AS score FROM w JOIN norm ON norm.doc_id = w.doc_id WHERE w.term IN ('the', 'and', 'with', 'that', 'from', 'have') GROUP BY w.doc_id""".replace("q AS (SELECT term, x FROM w WHERE term IN ('the', 'and', 'with', 'that', 'from', 'have'))", "one AS (SELECT 1 AS k)"),
-    r"""WITH tok AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), ' +'), lambda x: length(x) > 1)) AS term FROM documents WHERE lang = 'en'),
+RELEVANT = ("the", "and", "with", "that", "from", "have")
+_RELEVANT = ", ".join(f"'{x}'" for x in RELEVANT)
+
+
+@query("tfidf_filter", rf"""WITH tok AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}_]+'), lambda x: length(x) > 1)) AS term FROM documents),
     tf AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS n FROM tok GROUP BY doc_id, term), df AS (SELECT term, CAST(count(*) AS DOUBLE) AS d FROM tf GROUP BY term), t AS (SELECT CAST(count(DISTINCT doc_id) AS DOUBLE) AS total FROM tf),
-    w AS (SELECT tf.doc_id, tf.term, tf.n * (ln((1 + t.total) / (1 + df.d)) + 1) AS x FROM tf JOIN df ON df.term = tf.term CROSS JOIN t), norm AS (SELECT doc_id, sqrt(sum(x * x)) AS len FROM w GROUP BY doc_id)
-    SELECT w.doc_id, round(sum(w.x) / max(norm.len), 6) AS score FROM w JOIN norm ON norm.doc_id = w.doc_id WHERE w.term IN ('the', 'and', 'with', 'that', 'from', 'have') GROUP BY w.doc_id""")
+    w AS (SELECT tf.doc_id, tf.term, tf.n * (ln((1 + t.total) / (1 + df.d)) + 1) AS x, ln((1 + t.total) / (1 + df.d)) + 1 AS idf FROM tf JOIN df ON df.term = tf.term CROSS JOIN t), norm AS (SELECT doc_id, sqrt(sum(x * x)) AS len FROM w GROUP BY doc_id),
+    qn AS (SELECT sqrt(sum(power(ln((1 + t.total) / (1 + coalesce(df.d, 0))) + 1, 2))) AS len FROM (SELECT unnest([{_RELEVANT}]) AS term) k LEFT JOIN df ON df.term = k.term CROSS JOIN t)
+    SELECT w.doc_id, round(sum(w.x * w.idf) / max(norm.len) / (SELECT len FROM qn), 6) AS score FROM w JOIN norm ON norm.doc_id = w.doc_id WHERE w.term IN ({_RELEVANT}) GROUP BY w.doc_id""")
+def tfidf_filter(spark, sf_dir):
+    got = tfidf_relevance(docs(spark, sf_dir).select("doc_id", "text"), RELEVANT)
+    return got.select("doc_id", F.round("score", 6).alias("score"))
+
 
 KEYWORDS = ("license", "with", "that", "the", "and", "from", "this")
 
@@ -227,3 +236,34 @@ def keyword_filter(spark, sf_dir):
 @query("keyword_set_intersect")
 def keyword_set_intersect(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_join(F.slice(F.array_sort(F.array_intersect(text.words(F.lower(F.col("text"))), F.array(*[F.lit(k) for k in KEYWORDS]))), 1, 10), "|").alias("keywords"))
+
+
+@query("chunk_bytes_rust")
+def chunk_bytes_rust(spark, sf_dir):
+    return chunk.by_bytes(docs(spark, sf_dir).select("doc_id", "text"))
+
+
+CLUBS = {"Arsenal": "Arsenal FC", "Man City": "Manchester City", "Chelsea": "Chelsea FC", "Everton": "Everton FC", "Fulham": "Fulham FC"}
+PLAYERS = {"Tim Cook": "T. Cook", "Elon Musk": "E. Musk", "Jeff Bezos": "J. Bezos"}
+
+
+def _replaced(names: dict[str, str]) -> str:
+    out = "text"
+    for a, b in names.items():
+        out = f"regexp_replace({out}, '\\b{a}\\b', '{b}', 'g')"
+    return out
+
+
+for _name, _names in (("normalize_teams", CLUBS), ("normalize_players", PLAYERS)):
+
+    def _normalized(spark, sf_dir, names=_names):
+        return view(spark, sf_dir, "match_reports").select("doc_id", text.replace_names(F.col("text"), names).alias("v"))
+
+    # none of these names stands in what another is replaced by, so one after the other is the same here
+    query(_name, expanded(f"SELECT doc_id, {_replaced(_names)} AS v FROM match_reports"))(_normalized)
+
+
+@query("domain_preprocessor", expanded(f"SELECT doc_id, {_replaced(PLAYERS | CLUBS)} AS v FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM match_reports) t"))
+def domain_preprocessor(spark, sf_dir):
+    clean = text.normalize_whitespace(F.col("text"))
+    return view(spark, sf_dir, "match_reports").select("doc_id", text.replace_names(text.replace_names(clean, CLUBS), PLAYERS).alias("v"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions import score, text, url
 from sheaf.operators import html
-from sheaf.operators.chunk import pack_words
+from sheaf.operators.chunk import pack_bytes, pack_words
 
 
 def one(spark, value, column):
@@ -60,3 +60,29 @@ def test_html_reader():
     r = html.read("<html><head><title>T</title><meta name=author content=Ann><link rel=canonical href=/c></head><body><nav><a href=/n>n</a></nav><article><h1>H</h1><p>One<p>Two <a href='/x'>link</a></article></body></html>")
     assert (r["title"], r["main"], r["author"], r["canonical"], r["paragraphs"]) == ("T", "H One Two link", "Ann", "/c", 2)
     assert html.read(None)["main"] is None
+
+
+def test_byte_chunks_cut_no_character_and_keep_all_text():
+    t = " ".join("ä" * (i % 7 + 1) + ("." if i % 11 == 0 else "") for i in range(900))
+    parts = pack_bytes(t, 40, 25)
+    assert all(len(p.encode()) <= 400 for p in parts) and all(p in t for p in parts)
+    at = 0
+    for p in parts:  # each begins inside or right after what came before
+        here = t.index(p, max(0, at - 30))
+        assert here <= at + 1
+        at = here + len(p)
+    assert at == len(t)
+    assert pack_bytes(None) == [] and pack_bytes("") == [] and pack_bytes("a b.", 5) == ["a b."]
+    long = "ß" * 3000 + " " + "x " * 100
+    assert "".join(pack_bytes(long, 50, 0)).replace(" ", "") == long.replace(" ", "")
+
+
+def test_names_are_replaced_in_one_pass(spark):
+    names = {"A": "B", "B": "C", "A B": "D"}
+    assert one(spark, "A B, BA (A) B", lambda t: text.replace_names(t, names)) == "B C, BA (B) C"
+    assert one(spark, "none", lambda t: text.replace_names(t, names)) == "none" and one(spark, "", lambda t: text.replace_names(t, names)) == ""
+    assert one(spark, None, lambda t: text.replace_names(t, names)) is None
+
+
+def test_marked_elements_inside_one_another_count_once():
+    assert html.read('<div class="content"><div class="content"><p>One</p></div></div>')["main"] == "One"
