@@ -146,11 +146,45 @@ def test_chat_links_quotes_and_orders_replies(spark):
     ]
     got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert [(r.conv_id, r.turn, r.reply_to, r.text) for r in got] == [
-        (None, 1, None, ""), (1, 0, None, "Hello there\nHow are you?"), (1, 2, 0, "answer"), (1, 4, 2, "deep"), (1, 1, None, "I am fine"), (1, 3, 1, "ok"), (1, 5, None, "> said by nobody"), (2, 0, None, "elsewhere"),
+        (None, 1, None, ""), (1, 0, None, "Hello there\nHow are you?"), (1, 2, 0, "answer"), (1, 4, 2, "deep"), (1, 1, None, "I am fine"), (1, 3, 1, "ok"), (1, 5, None, ""), (2, 0, None, "elsewhere"),
     ]
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_links_passages_against_brute_force(spark):
+    r = random.Random(17)
+    rows, want, own = [], {}, {}
+    for c in range(12):
+        for t in range(14):
+            text = " ".join(". ".join(prose(r, r.randint(3, 12)) for _ in range(r.randint(1, 4))).split())
+            quoted = ""
+            if t and r.random() < 0.7:
+                o = r.randrange(t)
+                words = own[c, o].split()
+                n = r.randint(min(5, len(words)), len(words))
+                at = r.randint(0, len(words) - n)
+                some = [w.upper() if r.random() < 0.1 else w for w in words[at : at + n]]
+                # wrapped anywhere, now and then below an attribution or with a word put wrong in a long passage
+                if n > 40:
+                    some[0] = "zzz"
+                level = "> " if r.random() < 0.8 else ">> "
+                lines = [" ".join(some[k : k + 7]) for k in range(0, n, 7)]
+                quoted = ("On Monday someone wrote:\n" if r.random() < 0.5 else "") + "\n".join(level + x for x in lines) + "\n"
+                if n >= 5:
+                    want[c, t] = o if level == "> " else None
+            own[c, t] = text
+            rows.append((c, t, "user", quoted + text))
+    got = {(x.conv_id, x.turn): x for x in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert all(got[k].text == own[k] for k in own)
+    assert {k: got[k].reply_to for k in want} == want and all(got[k].n_linked == 1 for k in want)
+
+
+def test_chat_short_quotes_need_one_author(spark):
+    rows = [(1, 0, "user", "ok"), (1, 1, "user", "ok"), (1, 2, "user", "Fine by me. See you"), (1, 3, "user", "> ok\nwhich?"), (1, 4, "user", "> fine by me.\ngood")]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: r.reply_to for r in got} == {0: None, 1: None, 2: None, 3: None, 4: 2}
+
+
 # ---- 6
 def test_search_recall_and_edge_cases(spark):
     rng = np.random.default_rng(3)
