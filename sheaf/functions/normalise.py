@@ -1,71 +1,73 @@
-"""Text scalars that need Unicode normal forms or tag stripping: Arrow-batched, as Spark has neither built in."""
+"""Text scalars that need character references or Unicode normal forms. Those two steps run on Arrow arrays, as Spark has
+neither built in; tags, controls and white space are patterns on the JVM."""
 
 from __future__ import annotations
 
 import html
-import re
 import unicodedata
-from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .text import normalize_whitespace
 
+#: Comments, declarations and tags; a tag may hold > inside quotes, and ends before the next < outside them.
+TAG = r"(?s)<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</?[A-Za-z](?:[^<>\"\']|\"[^\"]*\"|\'[^\']*\')*>"
+#: What has no glyph: controls, formats, unassigned and private characters, and all separators but the space.
+HIDDEN = r"[\p{C}\p{Z}&&[^ ]]"
 
-class _Data(HTMLParser):
-    """Keeps the character data of a page and nothing else."""
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
+@F.arrow_udf(StringType())
+def _unescaped(t: pa.Array) -> pa.Array:
+    return pa.array([x if x is None else html.unescape(x) for x in t.to_pylist()], pa.string())
 
-    def handle_data(self, data):
-        self.parts.append(data)
 
+def _form(t: pa.Array, form: str) -> pa.Array:
+    # Arrow's own utf8_normalize leaves NFC decomposed
+    return pa.array([x if x is None or x.isascii() else unicodedata.normalize(form, x) for x in t.to_pylist()], pa.string())
 
-def without_tags(t: str | None) -> str:
-    """Character references first, then tags; so an escaped tag is a tag. Null counts as empty."""
-    if not t:
-        return ""
-    reader = _Data()
-    reader.feed(html.unescape(t))
-    reader.close()
-    return "".join(reader.parts)
 
+@F.arrow_udf(StringType())
+def _decomposed(t: pa.Array) -> pa.Array:
+    return _form(t, "NFKD")
+
+
+@F.arrow_udf(StringType())
+def _composed(t: pa.Array) -> pa.Array:
+    return _form(t, "NFC")
 
-def nlp_form(t: str | None) -> str:
-    """No tags, compatibility decomposition, printable characters only (line ends go too), single spaces."""
-    shown = "".join(c for c in unicodedata.normalize("NFKD", without_tags(t)) if c.isprintable())
-    return re.sub(r"\s+", " ", shown).strip()
 
+def _given(t: Column | str) -> Column:
+    return F.coalesce(F.col(t) if isinstance(t, str) else t, F.lit(""))
 
-@F.pandas_udf(StringType())
-def strip_html(t: pd.Series) -> pd.Series:
-    return t.map(without_tags)
 
+def unescape(t: Column) -> Column:
+    """Character references resolved; only texts with an ampersand leave the JVM."""
+    return F.coalesce(_unescaped(F.when(F.contains(t, F.lit("&")), t)), t)
 
-@F.pandas_udf(StringType())
-def normalize_unicode(t: pd.Series) -> pd.Series:
-    return t.map(lambda x: unicodedata.normalize("NFKD", x or ""))
 
+def strip_html(t: Column | str) -> Column:
+    """Character references first, then tags; so an escaped tag is a tag, and what was escaped twice is resolved. Null counts
+    as empty."""
+    return unescape(F.regexp_replace(unescape(_given(t)), TAG, ""))
 
-@F.pandas_udf(StringType())
-def _composed(t: pd.Series) -> pd.Series:
-    return t.map(lambda x: unicodedata.normalize("NFC", x or ""))
 
+def normalize_unicode(t: Column | str) -> Column:
+    """Compatibility decomposition; null counts as empty."""
+    return _decomposed(_given(t))
 
-@F.pandas_udf(StringType())
-def clean_nlp(t: pd.Series) -> pd.Series:
-    return t.map(nlp_form)
+
+def clean_nlp(t: Column | str) -> Column:
+    """No tags, compatibility decomposition, printable characters only (line ends go too), single spaces."""
+    return normalize_whitespace(F.regexp_replace(normalize_unicode(strip_html(t)), HIDDEN, ""))
 
 
 def clean_service_export(t: Column) -> Column:
     """Controls, format characters and line separators go (words on two lines join), canonical composition, single spaces."""
-    return normalize_whitespace(_composed(F.regexp_replace(t, r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}]", "")))
+    return normalize_whitespace(_composed(_given(F.regexp_replace(t, r"[\p{Cc}\p{Cf}\p{Zl}\p{Zp}]", ""))))
 
 
-def normalize_text(t: Column) -> Column:
+def normalize_text(t: Column | str) -> Column:
     return F.lower(clean_nlp(t))

@@ -1,7 +1,7 @@
 """Topic trees: paths, keywords, filters that work with them, and prediction down the tree.
 
 topics: (topic_id, parent_id, name, keywords array<string>); keywords may be absent or null. Trees are walked one level at a
-time, a level a join, at most `MAX_DEPTH` levels deep, so a circle ends.
+time, a level a join, written to the shared folder, at most `MAX_DEPTH` levels deep, so a circle ends.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..lineage import written
+
 MAX_DEPTH = 10
 
 _SCHEMA = "topic_id string, parent_id string, name string, keywords array<string>"
@@ -44,13 +46,16 @@ def _keywords(topics: DataFrame) -> Column:
 def walked(topics: DataFrame) -> DataFrame:
     """(topic_id, parent_id, name, keywords, root, level, path array): topics that a root leads to."""
     own = topics.select("topic_id", "parent_id", "name", _keywords(topics).alias("keywords"))
-    level = own.filter("parent_id IS NULL").withColumns({"root": F.col("topic_id"), "level": F.lit(0), "path": F.array("name")})
-    out, order = level, ["topic_id", "parent_id", "name", "keywords", "root", "level", "path"]
+    order = ["topic_id", "parent_id", "name", "keywords", "root", "level", "path"]
+    out = level = written(own.filter("parent_id IS NULL").withColumns({"root": F.col("topic_id"), "level": F.lit(0), "path": F.array("name")}).select(*order))
     for depth in range(1, MAX_DEPTH + 1):
         above = level.select(F.col("topic_id").alias("up"), "root", F.col("path").alias("lead"))
-        level = own.join(above, F.col("parent_id") == F.col("up")).select("topic_id", "parent_id", "name", "keywords", "root", F.lit(depth).alias("level"), F.array_append("lead", F.col("name")).alias("path"))
+        below = own.join(above, F.col("parent_id") == F.col("up")).select("topic_id", "parent_id", "name", "keywords", "root", F.lit(depth).alias("level"), F.array_append("lead", F.col("name")).alias("path"))
+        level = written(below)
+        if level.isEmpty():
+            break
         out = out.union(level)
-    return out.select(*order)
+    return out
 
 
 def paths(topics: DataFrame, between: str = " > ") -> DataFrame:

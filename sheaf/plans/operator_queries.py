@@ -286,9 +286,9 @@ def taxonomy_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.leaves(_topics(spark, sf_dir)).select("topic_id", "name")
 
 
-@q("taxonomy_lookup", "SELECT CAST(topic_id AS STRING) AS topic_id, CAST(parent_id AS STRING) AS parent_id FROM topics WHERE lower(name) = 'france' OR CAST(topic_id AS STRING) = 'france'")
+@q("taxonomy_lookup", "SELECT CAST(topic_id AS STRING) AS topic_id, CAST(parent_id AS STRING) AS parent_id FROM topics WHERE lower(name) = 'nation_7' OR CAST(topic_id AS STRING) = 'Nation_7'")
 def taxonomy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taxonomy.lookup(_topics(spark, sf_dir), "France").select("topic_id", "parent_id")
+    return taxonomy.lookup(_topics(spark, sf_dir), "Nation_7").select("topic_id", "parent_id")
 
 
 @q("taxonomy_training_data", f"WITH RECURSIVE {_TREE} SELECT CAST(topic_id AS STRING) AS topic_id, lower(name || ' ' || array_to_string({_KEYS.format(x='name')}, ' ') || ' ' || array_to_string(path, ' ')) AS text FROM t")

@@ -2,35 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import shared_dir
 from ..plans.registry import query
 
 
 def source(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """A folder of parquet files as a stream, with the schema of the files that are there."""
-    schema = spark.read.parquet(path).schema
+    schema = spark.read.option("recursiveFileLookup", "true").parquet(path).schema
     folder, _, last = path.rstrip("/").rpartition("/")
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*").option("recursiveFileLookup", "true").parquet(path) if not last.endswith(".parquet") else spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", last).parquet(folder)
 
 
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there and gives its result table. For results of aggregates, which fit a memory sink."""
-    name = f"out_{uuid.uuid4().hex}"
-    spark = stream.sparkSession
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if not spark.conf.get("spark.sql.streaming.checkpointLocation", None) and not spark.conf.get("spark.checkpoint.dir", None):
-        writer = writer.option("checkpointLocation", tempfile.mkdtemp(prefix="sheaf-stream-"))
-    elif spark.conf.get("spark.checkpoint.dir", None):
-        writer = writer.option("checkpointLocation", f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}")
-    running = writer.start()
-    running.awaitTermination()
-    return spark.table(name)
+    """Runs a stream over all that is there and gives its result table: in append mode all batches, else the last, which holds
+    the whole result. Batches are written to the shared folder, under their number, so that one that is run again replaces
+    itself and nothing gathers in the driver."""
+    at = f"{shared_dir(stream.sparkSession)}/sheaf-stream-{uuid.uuid4().hex}"
+    done: dict[int, str] = {}
+
+    def each(batch: DataFrame, number: int) -> None:
+        done[number] = f"{at}/batch-{number:09d}"
+        batch.write.mode("overwrite").parquet(done[number])
+
+    process_stream(stream, each, f"{at}/checkpoint", mode).awaitTermination()
+    rows = stream.sparkSession.read.schema(stream.schema)
+    if not done:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return rows.parquet(*done.values()) if mode == "append" else rows.parquet(done[max(done)])
 
 
 def running_domain_state(events: DataFrame) -> DataFrame:
@@ -56,9 +60,16 @@ def first_seen(events: DataFrame, keys: list[str], late: str = "1 day") -> DataF
     return events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(keys)
 
 
-def process_stream(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str):
-    """Micro-batches to a sink of one's own; a failed batch is run again, so `each` should be idempotent by its number."""
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def process_stream(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", trigger: str | None = None):
+    """Micro-batches to a sink of one's own; a failed batch is run again, so `each` should be idempotent by its number. Without
+    a trigger interval the stream ends when all that is there is done."""
+    writer = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)).start()
+
+
+def to_json_lines(stream: DataFrame, path: str, checkpoint: str):
+    """A stream as JSON Lines, each batch once."""
+    return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 @query("stream_running_domain_state", """SELECT 'host' || CAST(user_id AS STRING) || '.example.org' AS domain, count(*) AS n, round(avg(least(value / 200, CAST(1 AS DOUBLE))), 6) AS mean_quality FROM events GROUP BY user_id""")
