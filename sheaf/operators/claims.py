@@ -7,6 +7,8 @@ claims, so that a claim that is repeated many times costs one row. `members` lea
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +46,12 @@ def common_words(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) > F.least(F.size(x), F.size(y)) * 0.5
 
 
-def kind(a: str, b: str) -> Column:
-    """Why two claims of one entity contradict one another: the first rule that holds, else null."""
+KINDS = ("sentiment_conflict", "direct_negation", "factual_conflict")
+
+
+def kind(a: str, b: str, kinds: Sequence[str] = KINDS) -> Column:
+    """Why two claims of one entity contradict one another: the first rule that holds, else null. With fewer kinds, rules
+    that come after the last of them aren't tried."""
     one, two = F.col(f"{a}.content"), F.col(f"{b}.content")
     tone = F.abs(F.col(f"{a}.sentiment") - F.col(f"{b}.sentiment")) > SENTIMENT_GAP
     negated = (_any(one, NEGATIONS) & F.contains(one, two)) | (_any(two, NEGATIONS) & F.contains(two, one))
@@ -53,15 +59,19 @@ def kind(a: str, b: str) -> Column:
     for x, y in OPPOSED:
         opposed = opposed | (F.contains(one, F.lit(x)) & F.contains(two, F.lit(y))) | (F.contains(one, F.lit(y)) & F.contains(two, F.lit(x)))
     both = (F.col(f"{a}.claim_type") == "factual") & (F.col(f"{b}.claim_type") == "factual") & (F.length(one) > MIN_LENGTH) & (F.length(two) > MIN_LENGTH)
-    return F.when(tone, "sentiment_conflict").when(negated, "direct_negation").when(both & opposed & common_words(one, two), "factual_conflict")
+    last = max(KINDS.index(k) for k in kinds)
+    out = F.when(tone, KINDS[0])
+    for name, rule in list(zip(KINDS, (tone, negated, both & opposed & common_words(one, two)), strict=True))[1 : last + 1]:
+        out = out.when(rule, name)
+    return out
 
 
-def conflicts(of: DataFrame) -> DataFrame:
+def conflicts(of: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
     """(entity_id, c1, c2, kind, n_pairs) of the classes of one entity that contradict one another, c1 < c2; n_pairs counts
     the pairs of claims that they stand for."""
     a, b = of.alias("a"), of.alias("b")
-    met = a.join(b, (F.col("a.entity_id") == F.col("b.entity_id")) & (F.col("a.class_id") < F.col("b.class_id"))).withColumn("kind", kind("a", "b"))
-    return met.filter("kind IS NOT NULL").select("a.entity_id", F.col("a.class_id").alias("c1"), F.col("b.class_id").alias("c2"), "kind", (F.col("a.n") * F.col("b.n")).alias("n_pairs"))
+    met = a.join(b, (F.col("a.entity_id") == F.col("b.entity_id")) & (F.col("a.class_id") < F.col("b.class_id"))).withColumn("kind", kind("a", "b", kinds))
+    return met.filter(F.col("kind").isin(*kinds)).select("a.entity_id", F.col("a.class_id").alias("c1"), F.col("b.class_id").alias("c2"), "kind", (F.col("a.n") * F.col("b.n")).alias("n_pairs"))
 
 
 def candidates(claims: DataFrame, claim_id: int) -> DataFrame:

@@ -136,8 +136,8 @@ def _with(table: str, select: str) -> str:
     return f"WITH {_CLASS.format(table=table)}, {_PAIRS} {select}"
 
 
-def _conflicts(spark: SparkSession, sf_dir: str, table: str = "claims") -> DataFrame:
-    return claims.conflicts(claims.classes(view(spark, sf_dir, table)))
+def _conflicts(spark: SparkSession, sf_dir: str, table: str = "claims", kinds: tuple[str, ...] = claims.KINDS) -> DataFrame:
+    return claims.conflicts(claims.classes(view(spark, sf_dir, table)), kinds)
 
 
 @q("cross_claim_pairs", _with("claims", "SELECT c1, c2, kind, n_pairs FROM w WHERE kind IS NOT NULL"))
@@ -147,17 +147,17 @@ def cross_claim_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @q("contradiction_sentiment", "SELECT a.entity_id, count(*) AS n FROM claims a JOIN claims b ON a.entity_id = b.entity_id AND a.claim_id < b.claim_id WHERE abs(a.sentiment - b.sentiment) > 1e0 GROUP BY a.entity_id")
 def contradiction_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _conflicts(spark, sf_dir).filter("kind = 'sentiment_conflict'").groupBy("entity_id").agg(F.sum("n_pairs").alias("n"))
+    return _conflicts(spark, sf_dir, kinds=claims.KINDS[:1]).groupBy("entity_id").agg(F.sum("n_pairs").alias("n"))
 
 
 @q("contradiction_negation", _with("statements", "SELECT c1, c2 FROM w WHERE kind = 'direct_negation'"))
 def contradiction_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _conflicts(spark, sf_dir, "statements").filter("kind = 'direct_negation'").select("c1", "c2")
+    return _conflicts(spark, sf_dir, "statements", claims.KINDS[1:2]).select("c1", "c2")
 
 
 @q("contradiction_factual", _with("statements", "SELECT c1, c2, n_pairs FROM w WHERE kind = 'factual_conflict'"))
 def contradiction_factual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _conflicts(spark, sf_dir, "statements").filter("kind = 'factual_conflict'").select("c1", "c2", "n_pairs")
+    return _conflicts(spark, sf_dir, "statements", claims.KINDS[2:]).select("c1", "c2", "n_pairs")
 
 
 @q("contradiction_candidates", "SELECT DISTINCT a.claim_id FROM claims a JOIN claims b ON a.entity_id = b.entity_id WHERE b.claim_id = 3 AND a.claim_id <> 3")

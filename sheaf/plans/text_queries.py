@@ -233,7 +233,8 @@ def keyword_filter(spark, sf_dir):
     return rows.select("doc_id", "m", F.round(F.col("cap") * F.least(F.lit(1.0), F.log10(1 + F.col("m"))), 6).alias("confidence"))
 
 
-@query("keyword_set_intersect")
+@query("keyword_set_intersect", rf"""SELECT doc_id, array_to_string(list_sort(list_filter([{', '.join(f"'{k}'" for k in KEYWORDS)}], lambda k: list_contains(w, k)))[1:10], '|') AS keywords
+    FROM (SELECT doc_id, string_split_regex(lower(text), '[\s\p{{Z}}]+') AS w FROM documents) t""")
 def keyword_set_intersect(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_join(F.slice(F.array_sort(F.array_intersect(text.words(F.lower(F.col("text"))), F.array(*[F.lit(k) for k in KEYWORDS]))), 1, 10), "|").alias("keywords"))
 

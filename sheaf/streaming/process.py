@@ -82,12 +82,14 @@ def stream_tumbling(spark, sf_dir):
     return drained(windowed(source(spark, f"{sf_dir}/events.parquet"))).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "event_type", "n")
 
 
-@query("stream_sliding")
+@query("stream_sliding", """SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS started, event_type, count(*) AS n
+    FROM (SELECT date_trunc('hour', ts) AS h, event_type FROM events UNION ALL SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR, event_type FROM events) t GROUP BY h, event_type""")
 def stream_sliding(spark, sf_dir):
     return drained(windowed(source(spark, f"{sf_dir}/events.parquet"), "2 hours", "1 hour")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "event_type", "n")
 
 
-@query("stream_sessions")
+@query("stream_sessions", """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s
+    FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events) a) b GROUP BY user_id, s""")
 def stream_sessions(spark, sf_dir):
     return drained(sessions(source(spark, f"{sf_dir}/events.parquet"))).select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "n")
 
