@@ -31,6 +31,8 @@ BINS = 1 << 14
 TRAIN_TEXTS = 400
 LANDMARKS = 64
 RIDGE = 1e-3
+#: Parts of a language that are ranked on their own first.
+PARTS = 16
 
 _not_letters = regex.compile(r"\P{L}+")
 
@@ -118,7 +120,10 @@ def train(labelled: DataFrame, texts: int = TRAIN_TEXTS) -> Model | None:
     """labelled: (text, lang). At most `texts` distinct texts a language, the first by hash, are fitted on, each whole; the
     driver reads only which n-grams they have."""
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
-    first = usable.select("lang", "h").distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= texts)
+    # the first of a language are among the first of each of its parts, so no task ranks a whole language
+    first = usable.select("lang", "h").distinct().withColumn("part", F.pmod(F.xxhash64("h"), F.lit(PARTS)))
+    for group in (("lang", "part"), ("lang",)):
+        first = first.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy("h"))).filter(F.col("n") <= texts).drop("n")
     last = first.groupBy("lang").agg(F.max("h").alias("last"))
     drawn = usable.join(F.broadcast(last), "lang").filter("h <= last").select("lang", "h", "text").distinct().mapInPandas(_packed, "lang string, h long, x binary").collect()
     drawn.sort(key=lambda r: (r.lang, r.h, bytes(r.x)))
