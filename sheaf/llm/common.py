@@ -68,19 +68,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): root is the least node that links reach. edges: (a long, b long); nodes without an edge have no row.
 
     Alternating large-star and small-star rounds: every round is two grouped minima and two joins, no group is
-    collected, and the number of rounds grows with the logarithm of a component's size. Each round is written to the
-    shared folder."""
+    collected, and the number of rounds grows with the logarithm of a component's size. Each step is written to the shared
+    folder before it is joined, so that both sides of a join are plain exchanges, which can be split where a node has many
+    links."""
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         # large star: larger neighbours move to the least of the neighbourhood
         big = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        big = big.union(now.join(least, "u").select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        big = materialise(big.union(now.join(least, "u").select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
         # small star: smaller neighbours move to the least of them
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialise(big.groupBy("u").agg(F.min("v").alias("m")))
         small = big.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = materialise(small.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        release(least, big, low)
         same = after.count() == now.count() and after.exceptAll(now).isEmpty()
         release(now)
         now = after
